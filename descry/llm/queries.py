@@ -29,6 +29,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from descry.llm import tokencount
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
