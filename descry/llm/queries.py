@@ -37,6 +37,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from descry.llm import bpe
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe}
 
 ORACLE_SQL: dict[str, str] = {}
