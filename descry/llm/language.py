@@ -1,6 +1,6 @@
 """Language identification by compression with zstandard raw-content dictionaries, one for each language.
 
-Each whole text is cut into pieces of PIECE bytes (so that a long text keeps leaning on the dictionary and not on
+Each whole text is lower-cased and cut into pieces of PIECE bytes (so that a long text keeps leaning on the dictionary and not on
 itself), every piece is compressed with each language's dictionary, and the language with the smallest sum wins.
 The margin is the relative gap to the second smallest; `rejected` marks narrow ones for callers that want them apart.
 
@@ -21,20 +21,28 @@ from pyspark.sql import functions as F
 
 from descry.llm.common import fold, small_batches
 
-UNKNOWN, PIECE, LEVEL = "und", 2048, 1
+UNKNOWN, PIECE, SHORT, LEVEL = "und", 2048, 256, 6
 
 
 class Dictionaries:
+    """Coders for each language; texts below SHORT bytes get one that finds matches of three bytes."""
+
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         self.names = sorted(content)
-        self.coders = []
+        self.coders, self.fine = [], []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False))
+            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(level, min_match=3, strategy=zstandard.STRATEGY_BTOPT, window_log=17, write_content_size=False)
+            d.precompute_compress(compression_params=params)
+            self.fine.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d))
 
     def sizes(self, text: bytes) -> list[int]:
         """Compressed bytes under each dictionary; the small cost of a frame is equal for all."""
+        if len(text) < SHORT:
+            return [len(c.compress(text)) for c in self.fine]
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)] if len(text) > PIECE else [text]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
 
@@ -59,7 +67,7 @@ def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, pe
     rows = known.select(id_col, lang_col, text_col).join(F.broadcast(chosen.distinct()), id_col).select(lang_col, id_col, text_col).collect()
     out: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], str(r[1]), r[2])):
-        out.setdefault(lang, []).append(text.encode())
+        out.setdefault(lang, []).append(text.lower().encode())
     return {lang: b"\n".join(t)[: 110 << 10] for lang, t in out.items()}
 
 
@@ -82,7 +90,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
                 if t is None or not own.names or not has_letter(t):
                     langs.append(UNKNOWN), scores.append(0.0), margins.append(0.0)
                     continue
-                size = own.sizes(t.encode())
+                size = own.sizes(t.lower().encode())
                 k = int(np.argmin(size))
                 rest = sorted(size[:k] + size[k + 1 :])
                 langs.append(own.names[k])
