@@ -4,7 +4,7 @@ Each whole text is lower-cased and cut into pieces of PIECE bytes (so that a lon
 itself), every piece is compressed with each language's dictionary, and the language with the smallest sum wins.
 The margin is the relative gap to the second smallest; `rejected` marks narrow ones for callers that want them apart.
 
-Null texts and texts without a letter are UNKNOWN with score 0. Ties go to the first language in sorted order.
+Null texts and texts without a letter are UNKNOWN with score 0. Ties go to the language with more known texts.
 Without any known language, every text is UNKNOWN. Repeated rows get equal answers.
 """
 
@@ -28,7 +28,7 @@ class Dictionaries:
     """Coders for each language; texts below SHORT bytes get one that finds matches of three bytes."""
 
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
-        self.names = sorted(content)
+        self.names = list(content)
         self.coders, self.fine = [], []
         for name in self.names:
             d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -68,7 +68,8 @@ def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, pe
     out: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(rows, key=lambda r: (r[0], str(r[1]), r[2])):
         out.setdefault(lang, []).append(text.lower().encode())
-    return {lang: b"\n".join(t)[: 110 << 10] for lang, t in out.items()}
+    rows_of = {r[0]: r[1] for r in docs.where(where & F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+    return {lang: b"\n".join(out[lang])[: 110 << 10] for lang in sorted(out, key=lambda x: (-rows_of.get(x, 0), x))}
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 48, max_bytes: int = 1 << 14, min_margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
