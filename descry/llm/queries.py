@@ -51,6 +51,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe, "op8_simhash": op8_simhash}
+#: The rules of op6: (verdict, host and path).
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from descry.llm import urlfilter
+
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from descry.llm import orderminhash
+
+    return orderminhash.compare(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe, "op8_simhash": op8_simhash, "op6_url_filter": op6_url_filter, "op7_order_minhash": op7_order_minhash}
 
 ORACLE_SQL: dict[str, str] = {}
