@@ -99,3 +99,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def beside(big: DataFrame, side: DataFrame, on: list[str], how: str, rows: int | None = None, most: int = 250_000) -> DataFrame:
+    """Join a checkpointed `side` of a few fixed-width columns: broadcast up to `most` rows (some MB, counted here), shuffled beyond."""
+    n = side.count() if rows is None else rows
+    return big.join(F.broadcast(side) if n <= most else side, on, how)

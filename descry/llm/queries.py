@@ -51,6 +51,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from descry.llm import linededup
+
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 #: The rules of op6: (verdict, host and path).
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -67,6 +73,6 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderminhash.compare(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe, "op8_simhash": op8_simhash, "op6_url_filter": op6_url_filter, "op7_order_minhash": op7_order_minhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe, "op8_simhash": op8_simhash, "op6_url_filter": op6_url_filter, "op7_order_minhash": op7_order_minhash, "op5_line_dedup": op5_line_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
