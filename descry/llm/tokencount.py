@@ -221,7 +221,9 @@ def powers(n: int) -> list[np.ndarray]:
         base = 0x5851F42D4C957F2D
         inverse = pow(base, -1, 1 << 64)
         size = max(n, 3 * BLOCK)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (base, inverse)]
+        rows = np.ones((2, size), np.uint64)
+        rows[0, 1:], rows[1, 1:] = base, inverse
+        _POWERS[:] = list(np.cumprod(rows, axis=1, dtype=np.uint64))
     return _POWERS
 
 

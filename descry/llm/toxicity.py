@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     part = fold(id_col, folds)
     known = labels.where(F.col(label).isNotNull() & (part != held)).select(id_col, F.col(label).cast("int").alias("_label")).dropDuplicates([id_col])
     share = known.agg(F.avg("_label")).first()[0] or 0.0
-    counts = count(docs.select(id_col, text_col).join(known.where(part != tune), id_col), "_label", text_col).toArrow()
+    counts = count(docs.select(id_col, text_col).join(known.where(part != tune).hint("merge"), id_col), "_label", text_col).toArrow()
     gram, ordinary, toxic = (counts.column(i).to_numpy() for i in range(3))
     prior = min(max(share, 1e-6), 1 - 1e-6)
     flat = Model(np.zeros(GRAMS, np.int8), np.array([0.0, 0.0, np.log(prior / (1 - prior))]))
