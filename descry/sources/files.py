@@ -91,7 +91,7 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_text(spark: SparkSession, text: str, path: str, mode: str = "overwrite") -> None:
     """A report as one text file, wherever Spark can write."""
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).option("lineSep", "").text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
 def write_profile(spark: SparkSession, profile, path: str, kind: str = "json", mode: str = "overwrite") -> None:
