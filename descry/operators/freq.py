@@ -49,13 +49,18 @@ def table(df: DataFrame, column: str) -> DataFrame:
     return counts(df, column).select("level", "n", share(F.col("n"), total).alias("share"), share(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), total).alias("cumulative"), F.row_number().over(by).cast("long").alias("rank"))
 
 
+def by_frequency(df: DataFrame, column: str) -> DataFrame:
+    """(n, levels, least): how many levels occur n times, and the first of them. As many rows as there are different counts, however many levels."""
+    return counts(df, column).groupBy("n").agg(F.count("*").alias("levels"), F.min("level").alias("least"))
+
+
 def shape(df: DataFrame, column: str, rare_pct: float = 1.0) -> DataFrame:
     """One row: k, mode and its share, imbalance, normalised entropy (null for one level), Herfindahl index, number of rare levels."""
-    c = counts(df, column).withColumn("p", share(F.col("n"), F.sum("n").over(everything())))
-    k = F.count("*")
+    c = by_frequency(df, column).withColumn("p", share(F.col("n"), F.sum(F.col("n") * F.col("levels")).over(everything())))
+    k, p, m = F.sum("levels"), F.col("p"), F.col("levels")
     return c.agg(
-        k.alias("k"), F.min_by("level", F.struct((-F.col("n")).alias("n"), "level")).alias("mode"), F.max("p").alias("mode_share"), share(F.max("n"), F.min("n")).alias("imbalance"),
-        F.when(k > 1, -F.sum(F.col("p") * F.ln("p")) / F.ln(k.cast("double"))).alias("entropy"), F.sum(F.col("p") * F.col("p")).alias("herfindahl"), F.count_if(F.col("p") * 100 < rare_pct).alias("rare_levels"),
+        F.coalesce(k, F.lit(0)).alias("k"), F.max_by("least", "n").alias("mode"), F.max("p").alias("mode_share"), share(F.max("n"), F.min("n")).alias("imbalance"),
+        F.when(k > 1, -F.sum(m * p * F.ln(p)) / F.ln(k.cast("double"))).alias("entropy"), F.sum(m * p * p).alias("herfindahl"), F.coalesce(F.sum(F.when(p * 100 < rare_pct, m)), F.lit(0)).alias("rare_levels"),
     )
 
 
@@ -75,7 +80,7 @@ def concentration(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 8
 
     Levels with equal counts are folded into one row first, so that the ordering sees as many rows as there are different counts.
     """
-    by_n = counts(df, column).groupBy("n").agg(F.count("*").alias("levels"))
+    by_n = by_frequency(df, column)
     below = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     cum = by_n.select("n", "levels", F.coalesce(F.sum(F.col("n") * F.col("levels")).over(below), F.lit(0)).alias("before"), F.sum(F.col("n") * F.col("levels")).over(everything()).alias("total"), F.sum("levels").over(everything()).alias("k"))
     out = None

@@ -128,11 +128,25 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, whole: bool =
     return spark.range(count).select(F.col("id").alias("bin")).join(F.broadcast(got), "bin", "left").select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def running(df: DataFrame, key: str, n: str, into: str, zones: int = 200) -> DataFrame:
+    """`df` with the sum of `n` over all rows whose key is at most the row's; keys are numbers, each once.
+
+    Rows are summed within ranges between quantiles, and the ranges' totals, at most `zones` of them, are added up apart; no task sees all rows.
+    """
+    bounds = df.agg(F.percentile_approx(key, [i / zones for i in range(1, zones)], 10 * zones)).first()[0] or []
+    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
+    zoned = df.withColumn("_zone", F.size(F.filter(edges, lambda b: b <= F.col(key))))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = zoned.groupBy("_zone").agg(F.sum(n).alias("_sum")).select("_zone", before.alias("_before"))
+    inside = F.sum(n).over(Window.partitionBy("_zone").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    return zoned.join(F.broadcast(starts), "_zone").withColumn(into, F.col("_before") + inside).drop("_zone", "_before")
+
+
 def ecdf(df: DataFrame, column: str) -> DataFrame:
     """(value, n, at_most): share of valid rows with that value or less."""
     v = values(df, column).select(F.col("value").cast("double").alias("value"), "n")
-    by = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return v.select("value", "n", share(F.sum("n").over(by), F.sum("n").over(everything())).alias("at_most"))
+    total = v.agg(F.sum("n").alias("_total"))
+    return running(v, "value", "n", "_upto").crossJoin(F.broadcast(total)).select("value", "n", share(F.col("_upto"), F.col("_total")).alias("at_most"))
 
 
 def density(df: DataFrame, column: str, points: int = 100, bins: int = 200) -> DataFrame:

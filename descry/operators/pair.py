@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from descry.functions.dates import period
 from descry.functions.values import col, level, number, share
 from descry.operators.freq import everything
-from descry.operators.numeric import histogram, quantiles
+from descry.operators.numeric import histogram, quantiles, running
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -70,13 +70,12 @@ def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n and Spearman's coefficient over average ranks. Ranks come from value counts, so windows see different values only."""
+    """One row: n and Spearman's coefficient over average ranks. Ranks come from running value counts."""
     src = _numbers(df, a, b).groupBy("a", "b").agg(F.count("*").alias("n"))
 
     def ranks(c: str) -> DataFrame:
-        v = src.groupBy(c).agg(F.sum("n").alias("m"))
-        before = F.coalesce(F.sum("m").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return v.select(F.col(c), (before + (F.col("m") + 1) / 2.0).alias(f"r{c}"))
+        v = running(src.groupBy(c).agg(F.sum("n").alias("m")), c, "m", "upto")
+        return v.select(F.col(c), (F.col("upto") - F.col("m") + (F.col("m") + 1) / 2.0).alias(f"r{c}"))
 
     r = src.join(ranks("a"), "a").join(ranks("b"), "b")
     n = F.sum("n").cast("double")
