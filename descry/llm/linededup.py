@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from descry.llm.common import beside, checkpoint_dir, cut
 
 EDITS, MIN_CHARS = 2, 20
+#: Letters whose numbers are compared before the lines are: an edit changes them by two at most, together.
+LETTERS = ["e", "t", "a", "o", "i", "n", "s", "hr"]
 
 
 def let(value: Column, body) -> Column:
@@ -26,24 +28,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def keys(line: Column, size: Column, edits: int = EDITS) -> Column:
-    """array<struct<key, index>>: the line's own segments first, then the shifted ones that it probes."""
-    out = []
-    for less in range(edits + 1):
-        n = size - less  # the length of the lines that it looks for
-        base, longer = F.floor(n / (edits + 1)).cast("int"), (n % (edits + 1)).cast("int")
-        for i in range(edits + 1):
-            # the last `longer` segments have one character more
-            extra = F.greatest(longer - (edits + 1 - i), F.lit(0))
-            begin = base * i + extra
-            width = base + (F.lit(i) >= edits + 1 - longer).cast("int")
+def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """`lines` (line, size, ...) with (key, index): a row for each own segment (index) and for each shifted one that a line probes.
+
+    The places are a short literal array that is exploded, so that one small expression makes all keys. A window that leaves the line is no probe.
+    """
+    parts = edits + 1
+    spots = []
+    for less in range(parts):
+        for i in range(parts):
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                # a window that leaves the line is no probe: its key is null
-                inside = (begin + shift >= 0) & (begin + shift + width <= size)
-                key = F.when(inside, F.xxhash64(F.lit(i), n.cast("int"), F.substring(line, begin + shift + 1, width)))
-                out.append((less == 0 and shift == 0, F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("index"))))
-    return F.array(*[k for _, k in sorted(out, key=lambda x: not x[0])])
+            spots += [(less, i, shift) for shift in range(low, high + 1)]
+    places = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("part"), F.lit(shift).alias("shift")) for less, i, shift in spots])
+    rows = lines.select("*", F.inline(places))
+    n = F.col("size") - F.col("less")  # the length of the lines that it looks for
+    base, more = F.call_function("div", n, F.lit(parts)).cast("int"), n % parts
+    # the last `more` segments have one character more
+    begin = base * F.col("part") + F.greatest(more - (F.lit(parts) - F.col("part")), F.lit(0)) + F.col("shift")
+    width = base + (F.col("part") >= F.lit(parts) - more).cast("int")
+    rows = rows.withColumns({"_n": n, "_begin": begin, "_width": width}).where((F.col("_begin") >= 0) & (F.col("_begin") + F.col("_width") <= F.col("size")))
+    key = F.xxhash64("part", "_n", F.substring(F.col("line"), F.col("_begin") + 1, F.col("_width")))
+    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("shift") == 0)}).drop("less", "part", "shift", "_n", "_begin", "_width")
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -102,14 +107,18 @@ def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(h, h2) of the lines with an earlier different line within `edits` edits."""
-    probes = lines.select("id", "i", "line", "h", "h2", F.inline(keys(F.col("line"), F.col("size"), edits))).where("key is not null")
+    probes = keys(lines.select("id", "i", "line", "size", "h", "h2"), edits)
     shared = cut(probes.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
     met = beside(probes, shared, ["key"], "left_semi")
     first = F.min(F.struct("id", "i", "h", "h2")).alias("at")
-    met = cut(met.groupBy("key", "index", "h", "h2").agg(first, F.first("line").alias("line")).select("key", "index", "h", "h2", "at", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("chars")))
+    met = cut(met.groupBy("key", "index", "h", "h2").agg(first, F.first("line").alias("line")).select("key", "index", "h", "h2", "at", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("chars"), *[(F.char_length("line") - F.char_length(F.translate("line", x, ""))).alias(f"c{k}") for k, x in enumerate(LETTERS)]))
     a, b = met.alias("a"), met.alias("b")
     # b is the earlier line; one of the two stands under the key as indexed, the longer one (or an equally long one) as probing
     other = (F.col("a.key") == F.col("b.key")) & (F.col("b.at") < F.col("a.at")) & ((F.col("a.h") != F.col("b.h")) | (F.col("a.h2") != F.col("b.h2")))
+    apart = F.lit(0)
+    for k in range(len(LETTERS)):
+        apart = apart + F.abs(F.col(f"a.c{k}") - F.col(f"b.c{k}"))
+    other = other & (apart <= 2 * edits)
     gap = F.size("a.chars") - F.size("b.chars")
     late_probe = a.join(b.where("b.index"), other & gap.between(0, edits) & within(F.col("b.chars"), F.col("a.chars"), edits), "left_semi")
     late_index = a.where("a.index").join(b, other & (-gap).between(0, edits) & within(F.col("a.chars"), F.col("b.chars"), edits), "left_semi")
