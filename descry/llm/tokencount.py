@@ -212,7 +212,14 @@ class Merges:
         return where, inverse
 
 
-_POWERS: list[np.ndarray] = []
+class Local(list):
+    """A list that stays where it is: functions that use it travel with an empty one."""
+
+    def __reduce__(self):
+        return (Local, ())
+
+
+_POWERS: list[np.ndarray] = Local()
 
 
 def powers(n: int) -> list[np.ndarray]:
