@@ -61,6 +61,16 @@ def describe(df: DataFrame, overrides: dict[str, VariableType] | None = None, co
     return DatasetProfile(counted["n"], out)
 
 
+def timeline(df: DataFrame, c: str, unit: str, most: int = 5000) -> tuple[list[dict], str]:
+    """(period, n) of all instants by `unit`, or by the next coarser one with at most so many periods."""
+    units = ["day", "week", "month", "quarter", "year"]
+    for now in units[units.index(unit) : -1]:
+        got = rows(temporal.per_period(df, c, now).orderBy("period").limit(most + 1))
+        if len(got) <= most:
+            return got, now
+    return rows(temporal.per_period(df, c, "year").orderBy("period")), "year"
+
+
 def _fill(df: DataFrame, c: str, kind: VariableType, p: ColumnProfile, config: Config) -> None:
     essential, complete = {}, {}
     chart = lambda name, data, reason: p.viz_suggestions.append(VizSuggestion(name, {"rows": data}, reason))
@@ -121,7 +131,8 @@ def _fill(df: DataFrame, c: str, kind: VariableType, p: ColumnProfile, config: C
         essential = one(temporal.coverage(src, c)) | one(temporal.granularity(src, c))
         unit = essential["granularity"] if essential["granularity"] in ("year", "quarter", "month", "week", "day") else "day"
         complete = {"cycles": rows(temporal.cycles(src, c).orderBy("part", "value")), "gaps": rows(temporal.gaps(src, c, unit).orderBy("after").limit(config.sample_size)), "duplicates": temporal.duplicates(src, c).count()}
-        chart("timeline", rows(temporal.per_period(src, c, unit).orderBy("period").limit(5000)), f"records by {unit}")
+        line, unit = timeline(src, c, unit)
+        chart("timeline", line, f"records by {unit}")
         chart("hour by weekday heatmap", rows(temporal.week_grid(src, c)), "weekly rhythm")
     elif kind.subtype is S.DURATION:
         s = one(temporal.duration_summary(df, c, error))

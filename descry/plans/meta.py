@@ -39,18 +39,24 @@ def _quoted(text: str) -> str:
 
 
 def sampled(df: DataFrame, config: Config) -> DataFrame:
-    """The rows that decide the routes."""
-    return df if config.inference_sample_size is None else df.limit(config.inference_sample_size)
+    """The rows that decide the routes: all, or so many by a hash of their values."""
+    return df if config.inference_sample_size is None else by_hash(df, config.inference_sample_size)
+
+
+def by_hash(df: DataFrame, n: int) -> DataFrame:
+    """The n rows of the smallest hashes, wherever they stand in the table."""
+    flat = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, NESTED) and f.dataType.typeName() != "variant"]
+    return df.orderBy(F.xxhash64(F.lit(17), *flat)).limit(n) if flat else df.limit(n)
 
 
 def collect_metadata(df: DataFrame, config: Config | None = None) -> dict[str, dict]:
-    """{column: {dtype, n, n_valid, n_distinct, all_integer, parse_date_rate, parsed}} for the router; numbers of distinct values are exact."""
+    """{column: {dtype, n, n_valid, n_distinct, all_integer, parse_date_rate, parsed}} for the router; numbers of distinct values are exact among the rows of `sampled`."""
     config = config or Config()
     part = sampled(df, config)
     out = {r["column"]: {"dtype": r.dtype, "n": r.n, "n_valid": r.n_valid, "n_distinct": r.k, "all_integer": r.all_integer, "parse_date_rate": None} for r in column_metadata(part).collect()}
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if strings:
-        head = part.limit(config.date_parse_rows)
+        head = by_hash(part.select(*[col(c).alias(c) for c in strings]), config.date_parse_rows)
         got = head.agg(*[x for i, c in enumerate(strings) for x in (F.count(col(c)).alias(f"n{i}"), F.count(parse(col(c))).alias(f"p{i}"))]).first()
         for i, c in enumerate(strings):
             out[c] |= {"parse_date_rate": got[f"p{i}"] / got[f"n{i}"] if got[f"n{i}"] else 0.0, "parse_date_n": got[f"n{i}"]}

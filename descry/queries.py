@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from descry.config import Config
 from descry.operators import freq, numeric, ordinal, pair, temporal, text
 from descry.plans import meta
 from descry.plans.describe import describe, schema_of
@@ -14,6 +15,8 @@ from descry.plans.describe import describe, schema_of
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Routes are decided over all rows.
+WHOLE = Config(inference_sample_size=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +44,7 @@ add("column_metadata", "orders", lambda d: meta.column_metadata(d, META), " UNIO
 def route_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for name in ("part", "customer"):
-        rows += [(name, c, k.route) for c, k in schema_of(table(spark, sf_dir, name))[1].items()]
+        rows += [(name, c, k.route) for c, k in schema_of(table(spark, sf_dir, name), WHOLE)[1].items()]
     return spark.createDataFrame(rows, "tbl string, column string, route string")
 
 
@@ -199,6 +202,6 @@ add("period_by_category", "events", lambda d: pair.period_by_category(d, "ts", "
 add("period_metric", "events", lambda d: pair.period_metric(d, "ts", "value", "day"), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS period, count(*) AS n, avg(value) AS mean, sum(value) AS total, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM {t} GROUP BY 1")
 
 # whole profiles
-QUERIES["describe_orders"] = lambda spark, sf_dir: describe(table(spark, sf_dir, "orders")).to_df(spark)
-QUERIES["describe_events"] = lambda spark, sf_dir: describe(table(spark, sf_dir, "events")).to_df(spark)
-QUERIES["narratives"] = lambda spark, sf_dir: spark.createDataFrame([(n, c.narrative) for n, c in describe(table(spark, sf_dir, "part")).columns.items()], "column string, narrative string")
+QUERIES["describe_orders"] = lambda spark, sf_dir: describe(table(spark, sf_dir, "orders"), config=WHOLE).to_df(spark)
+QUERIES["describe_events"] = lambda spark, sf_dir: describe(table(spark, sf_dir, "events"), config=WHOLE).to_df(spark)
+QUERIES["narratives"] = lambda spark, sf_dir: spark.createDataFrame([(n, c.narrative) for n, c in describe(table(spark, sf_dir, "part"), config=WHOLE).columns.items()], "column string, narrative string")
