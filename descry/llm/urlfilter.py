@@ -3,7 +3,8 @@
 The longest rule that fits a url decides. For the rest, hosts are ranked twice over the link graph between hosts: by
 personalised PageRank from trusted seeds along links, and by the same walk against the links from blocked seeds, so that
 who links to blocked hosts is distrusted. A host's seed weights are the shares of its urls that the rules allow and block.
-A host is blocked if its distrust is above `balance` times its trust; a host that neither walk reaches is allowed.
+A host is blocked if its distrust is above `balance` times its trust; a host that neither walk reaches is allowed. Walks go on until they
+settle within a tolerance, and hosts whose two ranks are closer than that are allowed.
 
 A null url, or one without `://`, has an empty host and path, fits no rule and is allowed unless its (empty) host is
 distrusted. Null pages have no links. Repeated rows are judged alike; each counts as one url of its host.
@@ -19,6 +20,8 @@ from descry.llm.common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copies of each host's row, so that a host with a third of all urls is joined in as many tasks.
 SALT = 8
+#: The share of a host's rank that follows its links, and the move of a rank (a seed with only ruled urls weighs 1) at which a walk has settled.
+DAMPING, TOLERANCE = 0.85, 1e-7
 
 
 def host_of(url: Column) -> Column:
@@ -53,40 +56,43 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return out.where("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, rounds: int, damping: float) -> DataFrame:
-    """(host, rank) of personalised PageRank from `seeds` (host, weight summing to 1) along src -> dst; what dangles returns to the seeds."""
+def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank) of personalised PageRank from `seeds` (host, weight) along src -> dst; a dead end's rank starts again from the seeds.
+
+    Rounds go on until no host's rank moves by more than `tolerance`, so that what is left is below tolerance x damping / (1 - damping) for each
+    host, then ranks are scaled to the seeds' sum. A round moves the ranks by one join and one aggregation, which also finds the largest move.
+    """
     out = edges.groupBy(src).agg(F.sum("n").alias("total"))
     share = cut(edges.join(out, src).select(F.col(src).alias("a"), F.col(dst).alias("b"), (F.col("n") / F.col("total")).alias("p")))
-    rank = seeds.select("host", F.col("weight").alias("rank"))
-    for i in range(rounds):
-        moved = share.join(rank, share["a"] == rank["host"]).groupBy("b").agg(F.sum(F.col("p") * F.col("rank")).alias("in")).select(F.col("b").alias("host"), (damping * F.col("in")).alias("rank"))
-        back = seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank"))
-        rank = moved.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if i % 2:
-            rank = cut(rank)
-    total = F.lit(rank.agg(F.sum("rank")).first()[0] or 1.0)
-    return rank.select("host", (F.col("rank") / total).alias("rank"))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], rounds: int = 8, damping: float = 0.85, balance: float = 1.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    start = cut(seeds.select("host", ((1 - damping) * F.col("weight")).alias("rank")))
+    rank = start.select("host", "rank", F.col("rank").alias("move"))
+    nothing = F.lit(0.0)
+    while True:
+        moved = share.join(rank, share["a"] == rank["host"]).groupBy("b").agg((damping * F.sum(F.col("p") * F.col("rank"))).alias("rank")).select(F.col("b").alias("host"), "rank", nothing.alias("was"))
+        rows = moved.unionByName(start.select("host", "rank", nothing.alias("was"))).unionByName(rank.select("host", nothing.alias("rank"), F.col("rank").alias("was")))
+        rank = cut(rows.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).select("host", "rank", F.abs(F.col("rank") - F.col("was")).alias("move")))
+        if (rank.agg(F.max("move")).first()[0] or 0.0) <= tolerance:
+            break
+    both = rank.agg(F.sum("rank")).first()[0], seeds.agg(F.sum("weight")).first()[0]
+    return rank.select("host", (F.col("rank") * F.lit((both[1] or 0.0) / (both[0] or 1.0))).alias("rank"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = DAMPING, balance: float = 1.0, tolerance: float = TOLERANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for every row."""
     url = F.col(url_col)
-    seen = pages.select(id_col, html_col, host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = verdict_of(F.col("rule"), rules)
-    urls = seen.drop(html_col).withColumn("ruled", ruled)
+    seen = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    urls = seen.drop("_html").withColumn("ruled", verdict_of(F.col("rule"), rules))
     n = F.count("*")
     hosts = cut(urls.groupBy("host").agg((F.count_if(F.col("ruled") == "allow") / n).alias("good"), (F.count_if(F.col("ruled") == "block") / n).alias("bad")))
-    edges = cut(host_edges(seen, html_col))
-    sums = hosts.agg(F.sum("good"), F.sum("bad")).first()
-    linked = edges.limit(1).count() > 0
-    ranks = []
-    for column, total, src, dst in (("good", sums[0], "src", "dst"), ("bad", sums[1], "dst", "src")):
-        seeds = hosts.where(F.col(column) > 0).select("host", (F.col(column) / F.lit(total or 1.0)).alias("weight"))
-        ranks.append(walk(edges, seeds, src, dst, rounds, damping) if linked and total else seeds.select("host", F.col("weight").alias("rank")))
-    scored = hosts.select("host").join(ranks[0].withColumnRenamed("rank", "trust"), "host", "left").join(ranks[1].withColumnRenamed("rank", "distrust"), "host", "left")
-    # equal seed mass for both walks: weights are compared per unit of seed
-    scored = scored.select("host", (F.coalesce("trust", F.lit(0.0)) * F.lit(sums[0] or 0.0)).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) * F.lit(sums[1] or 0.0)).alias("distrust"))
+    edges = cut(host_edges(seen, "_html"))
+    linked = not edges.isEmpty()
+    scored = hosts.select("host")
+    for column, name, src, dst in (("good", "trust", "src", "dst"), ("bad", "distrust", "dst", "src")):
+        seeds = hosts.where(F.col(column) > 0).select("host", F.col(column).alias("weight"))
+        found = walk(edges, seeds, src, dst, damping, tolerance) if linked and not seeds.isEmpty() else seeds.withColumnRenamed("weight", "rank")
+        scored = scored.join(found.withColumnRenamed("rank", name), "host", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
     salted = scored.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
-    salt = F.pmod(F.xxhash64(id_col, "path"), F.lit(SALT)).cast("int")
-    by_host = F.when(F.col("distrust") > balance * F.col("trust"), "block").otherwise("allow")
-    return urls.withColumn("_salt", salt).join(salted, ["host", "_salt"]).select(id_col, "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")
+    salt = F.pmod(F.xxhash64("_id", "path"), F.lit(SALT)).cast("int")
+    # what the walks leave undecided counts as equal
+    by_host = F.when(F.col("distrust") - balance * F.col("trust") > tolerance / (1 - damping) ** 2, "block").otherwise("allow")
+    return urls.withColumn("_salt", salt).join(salted, ["host", "_salt"]).select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")
