@@ -5,13 +5,14 @@ neighbours side by side, as no merge can cross there. The distinct pre-tokens of
 array; in each round every row applies its leftmost pair of the lowest rank, all rows at once, until none is left. What
 survives is counted: a symbol in the vocabulary as one token, any other character as one token a byte.
 
-Pre-tokens beyond WIDE symbols would take as many rounds as they have merges; those few go through a heap that merges in the same order.
+Short rows, up to WIDE symbols, stand padded in a matrix, each with its leftmost lowest pair in a round. Longer ones are true ragged rows of one
+flat array, and a round applies every place of a row's lowest rank, from the left and without overlap, where the merged symbol only makes pairs of
+higher ranks (found when the model is read), and the leftmost place alone where it doesn't. So the order of merges is the same, whatever the length.
 Nulls count as empty: no tokens. Repeated rows get equal counts.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,13 @@ class Merges:
         self.merged = np.append(np.array(merged)[order], tail).astype(np.int32)
         self.rank = np.append(np.array(rank)[order], tail).astype(np.int32)
         self.beside = beside
+        made_at = np.full(len(symbol) + 1, -1)
+        made_at[[symbol[p] for p in pieces]] = [ranks[s] if len(p) > 1 else -1 for p, s in pieces.items()]
+        left, right, own_rank = keys >> 32, keys & 0xFFFFFFFF, np.array(rank, np.int64)
+        #: Symbols all of whose pairs rank after the merge that made them.
+        self.steady = np.ones(len(symbol) + 1, bool)
+        self.steady[left[made_at[left] > own_rank]] = False
+        self.steady[right[made_at[right] > own_rank]] = False
         self.memory: dict[bytes, int] = {}
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +100,9 @@ class Merges:
         """Symbols left of each pre-token that has two symbols or more (all of whose characters are in pieces)."""
         out = np.zeros(len(begin), np.int64)
         wide = size > WIDE
-        for i in np.flatnonzero(wide):
-            out[i] = self.by_heap(symbols[begin[i] : begin[i] + size[i]])
+        mine = np.flatnonzero(wide)
+        for i, j in runs(np.concatenate([[0], np.cumsum(size[mine])]), BLOCK):
+            out[mine[i:j]] = self.by_ragged(symbols, begin[mine[i:j]], size[mine[i:j]])
         rows = np.flatnonzero(~wide)
         for lo, hi in ((1, 8), (8, 16), (16, WIDE)):
             mine = rows[(size[rows] > lo) & (size[rows] <= hi)]
@@ -127,30 +136,41 @@ class Merges:
             rank[k, left], made[k, left] = self.look(row[k, left], new)
         return total
 
-    def by_heap(self, symbols: np.ndarray) -> int:
-        """The same merges, lowest rank and then leftmost first, for one long pre-token."""
-        s = symbols.tolist()
-        n = len(s)
-        ranks, merged = self.look(symbols[:-1], symbols[1:])
-        heap = [(int(r), i, s[i], s[i + 1], int(m)) for i, (r, m) in enumerate(zip(ranks, merged, strict=True)) if r != NONE]
-        heapq.heapify(heap)
-        after, before, count = list(range(1, n + 1)), list(range(-1, n - 1)), n
-        if not hasattr(self, "pairs"):
-            self.pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.rank, self.merged, strict=True) if k >= 0}
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != a or j >= n or s[j] != b:
-                continue
-            s[i], s[j] = m, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            count -= 1
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (found := self.pairs.get(s[x] << 32 | s[y])):
-                    heapq.heappush(heap, (found[0], x, s[x], s[y], found[1]))
-        return count
+    def by_ragged(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """All rows at once, laid end to end. A round merges all places of each row's lowest rank."""
+        total, live, n = np.zeros(len(size), np.int64), np.arange(len(size)), size.astype(np.int64)
+        s = symbols[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int32)
+        rank, made = np.full(len(s), NONE, np.int32), np.zeros(len(s), np.int32)
+        rank[:-1], made[:-1] = self.look(s[:-1], s[1:])
+        while len(live):
+            end = np.cumsum(n)
+            rank[end - 1] = NONE  # the last symbol of a row has no neighbour
+            low = np.minimum.reduceat(rank, end - n)
+            done = low == NONE
+            if done.any():
+                total[live[done]] = n[done]
+                stay = np.repeat(~done, n)
+                live, low, n, s, rank, made = live[~done], low[~done], n[~done], s[stay], rank[stay], made[stay]
+                if not len(live):
+                    break
+                end = np.cumsum(n)
+            hit = np.flatnonzero(rank == np.repeat(low, n))
+            opens = np.append(True, np.diff(hit) != 1)
+            nth = np.arange(len(hit))
+            apart = (nth - np.maximum.accumulate(np.where(opens, nth, 0))) % 2 == 0  # of places that overlap, every other one
+            first = np.zeros(len(hit), bool)
+            first[np.searchsorted(hit, end - n)] = True
+            hit = hit[first | apart & self.steady[made[hit]]]
+            s[hit] = made[hit]
+            keep = np.ones(len(s), bool)
+            keep[hit + 1] = False
+            n = n - np.bincount(np.searchsorted(end, hit, side="right"), minlength=len(n))
+            s, rank, made = s[keep], rank[keep], made[keep]
+            at = hit - np.arange(len(hit))
+            at = np.unique(np.concatenate([at, np.maximum(at - 1, 0)]))
+            at = at[at < len(s) - 1]
+            rank[at], made[at] = self.look(s[at], s[at + 1])
+        return total
 
     def counts(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1, np.int64)

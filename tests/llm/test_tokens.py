@@ -35,6 +35,23 @@ def test_counts(docs, texts):
         assert got[i].over_limit == (got[i].n_tokens > 4096)
 
 
+def test_ragged_rows_of_any_length(texts, monkeypatch):
+    """Ragged rounds give the library's counts for short rows as well, and for single pre-tokens of 100,000 symbols and beyond a block."""
+    import sentencepiece
+
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=MODEL), tokencount.Merges(MODEL)
+
+    def counts(some):
+        raw = [(t or "").encode() for t in some]
+        return m.counts(np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8)).tolist()
+
+    rng = random.Random(8)
+    long = ["a" * 1_300_000, "".join(rng.choice("abcdethineraouon") for _ in range(100_000)), "ab" * 50_000 + "thethe" * 3000]
+    assert counts(long) == [len(sp.encode(t)) for t in long]
+    monkeypatch.setattr(tokencount, "WIDE", 2)
+    assert counts(texts) == [len(sp.encode(t or "")) for t in texts]
+
+
 def test_clashing_codes_are_told_apart(monkeypatch):
     """With a hash that makes everything equal, the counts stay right."""
     m = tokencount.Merges(MODEL)
