@@ -5,7 +5,8 @@ itself), every piece is compressed with each language's dictionary, and the lang
 The margin is the relative gap to the second smallest; `rejected` marks narrow ones for callers that want them apart.
 
 Null texts and texts without a letter are UNKNOWN with score 0. Ties go to the language with more known texts.
-Without any known language, every text is UNKNOWN. Repeated rows get equal answers.
+Without any known language, every text is UNKNOWN. Repeated rows get equal answers. Every language that has one text with a letter
+outside the held-out fold is learned, however short or long its texts are.
 """
 
 from __future__ import annotations
@@ -16,33 +17,29 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from descry.llm.common import fold, small_batches
 
-UNKNOWN, PIECE, SHORT, LEVEL = "und", 2048, 256, 6
+UNKNOWN, PIECE, LEVEL = "und", 2048, 6
+#: Bytes of a dictionary, and texts of a language (by a hash of the id) that may go into it.
+CONTENT, CANDIDATES = 110 << 10, 4096
 
 
 class Dictionaries:
-    """Coders for each language; texts below SHORT bytes get one that finds matches of three bytes."""
+    """A coder for each language."""
 
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         self.names = list(content)
-        self.coders, self.fine = [], []
+        self.coders = []
         for name in self.names:
-            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content[name].rjust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)  # fewer than 8 bytes are no dictionary
             d.precompute_compress(level=level)
             self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False))
-            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            params = zstandard.ZstdCompressionParameters.from_level(level, min_match=3, strategy=zstandard.STRATEGY_BTOPT, window_log=17, write_content_size=False)
-            d.precompute_compress(compression_params=params)
-            self.fine.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d))
 
     def sizes(self, text: bytes) -> list[int]:
         """Compressed bytes under each dictionary; the small cost of a frame is equal for all."""
-        if len(text) < SHORT:
-            return [len(c.compress(text)) for c in self.fine]
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)] if len(text) > PIECE else [text]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
 
@@ -54,33 +51,42 @@ def has_letter(text: str) -> bool:
     return LETTER.search(text) is not None
 
 
-def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, per_language: int, max_bytes: int, seed: int = 17) -> dict[str, bytes]:
-    """Dictionary content: whole texts of at most `max_bytes`, `per_language` for each language chosen by a hash of the id, joined up to 110 KB."""
-    known = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.octet_length(text_col).between(200, max_bytes))
-    # the ids with the smallest hashes for each language: partial aggregation keeps per_language of them in a task
-    ranked = known.groupBy(F.col(lang_col).alias("_lang"), (F.xxhash64(F.lit(seed), F.col(id_col)) % 4096).alias("_slot")).agg(F.min_by(F.col(id_col), F.xxhash64(F.lit(seed + 1), F.col(id_col))).alias("_id"))
-    slots = ranked.groupBy("_lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("_slot", "_id"))), 1, per_language).alias("_ids"))
-    ids = slots.select(F.explode("_ids").alias("_x")).select(F.col("_x._id").alias(id_col)).collect()
-    if not ids:
+def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, max_bytes: int, seed: int = 17) -> dict[str, bytes]:
+    """Dictionary content for each language: texts joined up to CONTENT bytes, of each at most `max_bytes` (for fitting only).
+
+    Texts come by a hash of the id, at most CANDIDATES a language, those of 200 to `max_bytes` bytes first; shorter and longer ones fill up.
+    """
+    known = docs.where(where & F.col(lang_col).isNotNull() & F.regexp_like(text_col, F.lit(r"\p{L}")))
+    size = F.octet_length(text_col)
+    known = known.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.least(size, F.lit(max_bytes)).alias("_bytes"), (~size.between(200, max_bytes)).alias("_other"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
+    # partial aggregation keeps a text for each slot in a task; CANDIDATES rows a language are left
+    slots = known.groupBy("_lang", F.pmod("_h", F.lit(CANDIDATES)).alias("_slot")).agg(F.min(F.struct("_other", "_h", "_id", "_bytes")).alias("_x"), F.count("*").alias("_n"))
+    row = Window.partitionBy("_lang").orderBy("_x._other", "_x._h")
+    before = F.coalesce(F.sum("_x._bytes").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = slots.select("_lang", "_x._id", before.alias("_before"), F.row_number().over(row).alias("_nth"), F.sum("_n").over(Window.partitionBy("_lang")).alias("_rows"))
+    picked = ranked.where(F.col("_before") < CONTENT).collect()
+    if not picked:
         return {}
-    chosen = docs.sparkSession.createDataFrame([(r[0],) for r in ids], docs.select(id_col).schema)
-    rows = known.select(id_col, lang_col, text_col).join(F.broadcast(chosen.distinct()), id_col).select(lang_col, id_col, text_col).collect()
+    chosen = docs.sparkSession.createDataFrame([(r["_lang"], r["_id"], r["_nth"]) for r in picked], ranked.select("_lang", "_id", "_nth").schema)
+    same = (F.col(lang_col) == F.col("_lang")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    # of rows that share an id and a language the least text stands for all
+    rows = docs.where(where & F.regexp_like(text_col, F.lit(r"\p{L}"))).join(F.broadcast(chosen), same).groupBy("_lang", "_nth").agg(F.min(F.substring(text_col, 1, max_bytes)).alias("_t")).collect()
     out: dict[str, list[bytes]] = {}
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], str(r[1]), r[2])):
-        out.setdefault(lang, []).append(text.lower().encode())
-    rows_of = {r[0]: r[1] for r in docs.where(where & F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
-    return {lang: b"\n".join(out[lang])[: 110 << 10] for lang in sorted(out, key=lambda x: (-rows_of.get(x, 0), x))}
+    for lang, _, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        out.setdefault(lang, []).append(text.lower().encode()[:max_bytes])
+    rows_of = {r["_lang"]: r["_rows"] for r in picked}
+    return {lang: b"\n".join(out[lang])[:CONTENT] for lang in sorted(out, key=lambda x: (-rows_of[x], x))}
 
 
-def identify(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int = 48, max_bytes: int = 1 << 14, min_margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held: int = 2, max_bytes: int = 1 << 14, min_margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score, margin, rejected) for every row.
 
-    Dictionaries come from at most `per_language` texts a language (a bounded sample) outside the held-out fold; score is
+    Dictionaries come from at most CONTENT bytes of texts a language (a bounded sample) outside the held-out fold; score is
     1 - (smallest size / mean of the other sizes), stretched to 0..1 by a factor of 2.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    content = gather(docs, lang_col, text_col, id_col, fold(id_col, folds) != held, per_language, max_bytes)
+    content = gather(docs, lang_col, text_col, id_col, fold(id_col, folds) != held, max_bytes)
 
     @F.arrow_udf("struct<lang:string,score:double,margin:double>")
     def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

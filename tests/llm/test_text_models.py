@@ -66,6 +66,19 @@ def test_odd_rows(spark, odd, model):
         assert set(got[got.doc_id.isin([3, 5])].lang_pred) <= {"en", "und"}
 
 
+def test_languages_of_short_or_long_texts_only(spark):
+    """30 bytes a text, or 40,000: each language is learned and told apart."""
+    import random
+
+    rng = random.Random(4)
+    words = {"de": "der die das und nicht mit sich auf ein eine".split(), "en": "the and that with this from have they which".split(), "fr": "le la les des une dans pour que qui avec".split()}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))[:n * 4]
+    rows = [(i, say("de", 8)[:30], "de") for i in range(40)] + [(100 + i, say("en", 80), "en") for i in range(40)] + [(200 + i, say("fr", 10_000), "fr") for i in range(12)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    want = got.doc_id.map({i: x for i, _, x in rows})
+    assert (got.lang_pred == want).mean() > 0.97
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
