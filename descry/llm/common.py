@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,12 +49,16 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is set (tests), one of our own."""
+    """The shared folder that the cluster names. Where none is set, one of our own, but only if executors and driver are one process (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "descry-checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or "/tmp/descry-checkpoints")
-    return named or "/tmp/descry-checkpoints"
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
