@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -24,7 +25,9 @@ class Config:
     date_parse_min: int = 20
     date_parse_rows: int = 1000
     log_scale_ratio: float = 2.0  # mean over median from which a logarithmic scale is suggested
-    max_bins: int = 50
+    max_bins: int = 50  # of a histogram
     language: str = "pt-BR"
-    narrative_tone: str = "academico"
-    narrative_llm: str | None = None
+    narrative_tone: str = "academico"  # or "direto": the same figures in shorter sentences
+    narrative_llm: Callable[[str], str] | None = None  # rephrases each narrative; its numbers are checked
+    oldest: str = "1900-01-01"  # instants before are implausible
+    curve_points: int = 100  # of densities and distribution curves

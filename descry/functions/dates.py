@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from descry.functions.strings import strip
+
 #: Tried in this order; where day and month could be swapped, the day comes first.
 FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "M/d/yyyy H:mm", "MMMM d, yyyy", "d-MMM-yy", "yyyy/MM/dd"]
 UNITS = ["year", "quarter", "month", "week", "day", "hour", "minute", "second"]
 
 
-def parse(text: Column) -> Column:
-    """The instant that a text stands for in the first format that fits, or null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in FORMATS]).cast("timestamp_ntz")
+def parse(text: Column, first: str | None = None) -> Column:
+    """The instant that a text stands for in the first format that fits, or null. `first` is tried before the others: a column's dominant format."""
+    return F.coalesce(*[F.try_to_timestamp(strip(text), F.lit(f)) for f in ([first] if first else []) + FORMATS]).cast("timestamp_ntz")
 
 
 def parsed_format(text: Column) -> Column:
     """The first format that fits, or null."""
-    return F.coalesce(*[F.when(F.try_to_timestamp(F.trim(text), F.lit(f)).isNotNull(), f) for f in FORMATS])
+    return F.coalesce(*[F.when(F.try_to_timestamp(strip(text), F.lit(f)).isNotNull(), f) for f in FORMATS])
+
+
+def formats(text: Column) -> list[Column]:
+    """For each format, how many texts fit it; a text can fit several."""
+    return [F.count(F.try_to_timestamp(strip(text), F.lit(f))).alias(f) for f in FORMATS]
 
 
 def period(instant: Column, unit: str) -> Column:

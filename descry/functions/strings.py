@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as Unicode has it; the plain \s of the regex engine is ASCII only.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: White space as Unicode has it; the plain \s of the regex engine is ASCII only. A class body, and the class.
+BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{BLANK}]"
 
 # The checks and formats that results must agree with.
 DISGUISED = ["", "n/a", "null", "-", "sem informação"]
@@ -25,8 +28,8 @@ PATTERNS = {
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 }
 DIRT = {
-    "edge_space": r"^\s|\s$",
-    "double_space": r"\s{2,}",
+    "edge_space": rf"^{SPACE}|{SPACE}\z",
+    "double_space": SPACE + "{2,}",
     "invisible": r"[\x{200B}-\x{200D}\x{A0}\x{FEFF}]",
     "control": r"[\x00-\x1f\x7f]",
     "repeated": r"(?s)(.)\1{3,}",
@@ -56,6 +59,11 @@ def ascii_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), accents, plain), SPACE + "+", " "))
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its edges, as Unicode has it."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
 def mask(text: Column) -> Column:
     """Capitals as A, small letters as a, digits as 9."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\p{Nd}", "9")
@@ -67,7 +75,7 @@ def tokens(text: Column) -> Column:
 
 def disguised(text: Column) -> Column:
     """Whether a value stands for a missing one."""
-    return F.lower(F.trim(text)).isin(DISGUISED)
+    return F.lower(strip(text)).isin(DISGUISED)
 
 
 def letter_case(text: Column) -> Column:
@@ -77,10 +85,14 @@ def letter_case(text: Column) -> Column:
 
 
 def dirt(text: Column) -> dict[str, Column]:
-    """Each check of the battery as a predicate."""
+    """Each check of the battery as a predicate. Where a check needs some character, that is looked for before the pattern."""
     out = {name: text.rlike(rule) for name, rule in DIRT.items()}
+    any_of = lambda *marks: reduce(or_, [text.contains(m) for m in marks])
+    out["mojibake"] = any_of(*DIRT["mojibake"].split("|"))
+    out["html"] = any_of("&", "<", "\\n") & out["html"]
+    out["edge_space"] = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1)).rlike(SPACE)
     out["control_no_space"] = text.rlike(r"[\x00-\x08\x0e-\x1f\x7f]")
-    out["mixed_alphabets"] = text.rlike(r"\p{IsLatin}") & text.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
+    out["mixed_alphabets"] = text.rlike(r"[\p{IsCyrillic}\p{IsGreek}]") & text.rlike(r"\p{IsLatin}")
     return out
 
 

@@ -33,16 +33,54 @@ def moments(x: Column) -> dict[str, Column]:
     }
 
 
+QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p1": 0.01, "p5": 0.05, "p95": 0.95, "p99": 0.99}
+
+
+def summary_parts(x: Column, error: float) -> dict[str, Column]:
+    """The aggregates of a summary; `q` holds the QUANTILES."""
+    return {
+        "n": F.count("*"), "n_valid": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "q": quantiles(x, list(QUANTILES.values()), error),
+        "zeros": share(F.count_if(x == 0), F.count(x)), "negatives": share(F.count_if(x < 0), F.count(x)),
+    } | moments(x)
+
+
 def summary(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
-    """One row of everything that one pass gives: counts, five numbers, mean, moments, tails, shares of zeros and negatives, quantile_error."""
-    x = F.col("x")
-    src = df.select(number(df, column).alias("x"))
-    q = quantiles(x, [0.25, 0.5, 0.75, 0.01, 0.05, 0.95, 0.99], error)
-    got = src.agg(F.count("*").alias("n"), F.count(x).alias("n_valid"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), q.alias("q"), share(F.count_if(x == 0), F.count(x)).alias("zeros"), share(F.count_if(x < 0), F.count(x)).alias("negatives"), *[c.alias(k) for k, c in moments(x).items()])
-    got = got.select("n", "n_valid", (F.col("n") - F.col("n_valid")).alias("n_missing"), "min", "max", "mean", *[F.col("q")[i].alias(name) for i, name in enumerate(["q1", "median", "q3", "p1", "p5", "p95", "p99"])], "sd", "skewness", "kurtosis", "zeros", "negatives")
+    """One row of everything that one pass gives: counts, five numbers, mean, moments, tails, shares of zeros and negatives, quantile_error.
+
+    Exact quantiles (no error) keep every different value in one task; give an error where those may be many.
+    """
+    got = df.select(number(df, column).alias("x")).agg(*[c.alias(k) for k, c in summary_parts(F.col("x"), error).items()])
+    got = got.select("n", "n_valid", (F.col("n") - F.col("n_valid")).alias("n_missing"), "min", "max", "mean", *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)], "sd", "skewness", "kurtosis", "zeros", "negatives")
     return got.select("*", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"), F.lit(float(error)).alias("quantile_error"))
 
 
+def summaries(df: DataFrame, columns: list[str], error: float = 0.0) -> dict[str, dict]:
+    """The summary of each column, with outlier counts and whiskers: two scans, however many columns."""
+    if not columns:
+        return {}
+    parts = {c: summary_parts(number(df, c), error) for c in columns}
+    first = df.agg(*[x.alias(f"{i} {k}") for i, c in enumerate(columns) for k, x in parts[c].items()]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        s = {k: first[f"{i} {k}"] for k in parts[c]}
+        q = s.pop("q") or [None] * len(QUANTILES)
+        s |= dict(zip(QUANTILES, q, strict=True)) | {"n_missing": s["n"] - s["n_valid"], "quantile_error": float(error)}
+        s["iqr"] = None if s["q1"] is None else s["q3"] - s["q1"]
+        s["cv"] = s["sd"] / s["mean"] if s["sd"] is not None and s["mean"] else None
+        out[c] = s
+    known = [(i, c) for i, c in enumerate(columns) if out[c]["iqr"] is not None]
+    if known:
+        cols = []
+        for i, c in known:
+            x, s = number(df, c), out[c]
+            inside = x.between(s["q1"] - 1.5 * s["iqr"], s["q3"] + 1.5 * s["iqr"])
+            cols += [F.count_if(~inside).alias(f"{i} n"), F.min(F.when(inside, x)).alias(f"{i} low"), F.max(F.when(inside, x)).alias(f"{i} high")]
+        second = df.agg(*cols).first()
+        for i, c in known:
+            out[c] |= {"outliers": second[f"{i} n"], "outlier_share": second[f"{i} n"] / out[c]["n_valid"], "low_whisker": second[f"{i} low"], "high_whisker": second[f"{i} high"]}
+    return out
+
+
 def five_numbers(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
     return summary(df, column, error).select("min", "q1", "median", "mean", "q3", "max")
 
@@ -98,11 +136,37 @@ def table(df: DataFrame, column: str) -> DataFrame:
     return rows.select("value", "n", share(F.col("n"), F.sum("n").over(everything())).alias("share"), F.when(F.col("value").isNotNull(), share(F.sum("n").over(by), valid)).alias("cumulative"))
 
 
-def holes(df: DataFrame, column: str) -> DataFrame:
-    """(value): whole numbers between the least and the greatest value that don't occur. Ranges of missing numbers come from gaps between neighbours."""
+def following(df: DataFrame, key: str, value: str, into: str, zones: int = 200) -> DataFrame:
+    """`df` with the `value` of the row with the next larger key; keys are numbers, each once.
+
+    Rows meet within ranges between quantiles; the first row of each range, at most `zones` of them, is handed to the range before.
+    """
+    zoned = zones_of(df, key, zones)
+    firsts = zoned.groupBy("_zone").agg(F.min_by(value, key).alias("_first"))
+    after = firsts.select("_zone", F.lead("_first").over(Window.orderBy("_zone")).alias("_after"))
+    inside = F.lead(value).over(Window.partitionBy("_zone").orderBy(key))
+    return zoned.withColumn(into, inside).join(F.broadcast(after), "_zone").withColumn(into, F.coalesce(into, "_after")).drop("_zone", "_after")
+
+
+def zones_of(df: DataFrame, key: str, zones: int) -> DataFrame:
+    """`df` with `_zone`, the number of the range between quantiles that a row's key is in."""
+    bounds = df.agg(F.percentile_approx(key, [i / zones for i in range(1, zones)], 10 * zones)).first()[0] or []
+    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
+    return df.withColumn("_zone", F.size(F.filter(edges, lambda b: b <= F.col(key))))
+
+
+def hole_ranges(df: DataFrame, column: str) -> DataFrame:
+    """(low, high, n): ranges of whole numbers between the least and the greatest value that don't occur; one row for each, however wide it is."""
     v = values(df, column).select(F.col("value").cast("long").alias("value")).distinct()
-    gap = v.select("value", F.lead("value").over(Window.orderBy("value")).alias("after")).where("after > value + 1")
-    return gap.select(F.explode(F.sequence(F.col("value") + 1, F.col("after") - 1)).alias("value"))
+    gap = following(v, "value", "value", "after").where("after > value + 1")
+    return gap.select((F.col("value") + 1).alias("low"), (F.col("after") - 1).alias("high"), (F.col("after") - F.col("value") - 1).alias("n"))
+
+
+def holes(df: DataFrame, column: str) -> DataFrame:
+    """(value): the numbers of hole_ranges one by one; for columns whose ranges are known to be narrow. A wide range is cut where a task's rows end."""
+    part = 100_000
+    pieces = hole_ranges(df, column).select("low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(part)))).alias("_k"))
+    return pieces.select(F.explode(F.sequence(F.col("low") + F.col("_k") * part, F.least(F.col("high"), F.col("low") + F.col("_k") * part + part - 1))).alias("value"))
 
 
 def bins_for(n: int, most: int = 50) -> int:
@@ -110,32 +174,49 @@ def bins_for(n: int, most: int = 50) -> int:
     return max(1, min(most, math.ceil(math.log2(max(n, 1))) + 1))
 
 
-def histogram(df: DataFrame, column: str, bins: int | None = None, whole: bool = False) -> DataFrame:
+def bin_plan(lo: float, hi: float, n: int, bins: int | None, whole: bool, most: int = 50) -> tuple[float, int]:
+    """(width, number) of the bins; whole: widths are whole numbers."""
+    count = bins or bins_for(n, most)
+    if whole:
+        width = float(max(1, math.ceil((hi - lo + 1) / count)))
+        return width, math.ceil((hi - lo + 1) / width)
+    return (hi - lo) / count, count
+
+
+def bin_of(x: Column, lo: float, width: float, count: int) -> Column:
+    return (F.least(F.floor((x - lo) / width), F.lit(count - 1)) if width else F.lit(0)).cast("long")
+
+
+def histogram(df: DataFrame, column: str, bins: int | None = None, whole: bool = False, most: int = 50) -> DataFrame:
     """(bin, low, high, n): bins of equal width, the empty ones too; the greatest value falls into the last. whole: widths are whole numbers."""
     src = df.select(number(df, column).alias("x")).where("x is not null")
     lo, hi, n = src.agg(F.min("x"), F.max("x"), F.count("*")).first()
     spark = df.sparkSession
     if lo is None:
         return spark.createDataFrame([], "bin long, low double, high double, n long")
-    count = bins or bins_for(n)
-    if whole:
-        width = float(max(1, math.ceil((hi - lo + 1) / count)))
-        count = math.ceil((hi - lo + 1) / width)
-    else:
-        width = (hi - lo) / count
-    at = F.least(F.floor((F.col("x") - lo) / width), F.lit(count - 1)) if width else F.lit(0)
-    got = src.groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    width, count = bin_plan(lo, hi, n, bins, whole, most)
+    got = src.groupBy(bin_of(F.col("x"), lo, width, count).alias("bin")).agg(F.count("*").alias("n"))
     return spark.range(count).select(F.col("id").alias("bin")).join(F.broadcast(got), "bin", "left").select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def histograms(df: DataFrame, ranges: dict[str, dict], whole: set[str], most: int = 50) -> dict[str, list[dict]]:
+    """The histogram of each column whose summary is known, all counted in one scan."""
+    plans = {c: (s["min"], *bin_plan(s["min"], s["max"], s["n_valid"], None, c in whole, most)) for c, s in ranges.items() if s["n_valid"]}
+    if not plans:
+        return {}
+    names = list(plans)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(number(df, c).isNotNull(), bin_of(number(df, c), *plans[c])).alias("bin")) for i, c in enumerate(names)])
+    got = df.select(F.explode(cells).alias("c")).where("c.bin is not null").groupBy("c.i", "c.bin").agg(F.count("*").alias("n")).collect()
+    seen = {(names[r["i"]], r["bin"]): r["n"] for r in got}
+    return {c: [{"bin": k, "low": lo + k * width, "high": lo + (k + 1) * width, "n": seen.get((c, k), 0)} for k in range(count)] for c, (lo, width, count) in plans.items()}
+
+
 def running(df: DataFrame, key: str, n: str, into: str, zones: int = 200) -> DataFrame:
     """`df` with the sum of `n` over all rows whose key is at most the row's; keys are numbers, each once.
 
     Rows are summed within ranges between quantiles, and the ranges' totals, at most `zones` of them, are added up apart; no task sees all rows.
     """
-    bounds = df.agg(F.percentile_approx(key, [i / zones for i in range(1, zones)], 10 * zones)).first()[0] or []
-    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    zoned = df.withColumn("_zone", F.size(F.filter(edges, lambda b: b <= F.col(key))))
+    zoned = zones_of(df, key, zones)
     before = F.coalesce(F.sum("_sum").over(Window.orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = zoned.groupBy("_zone").agg(F.sum(n).alias("_sum")).select("_zone", before.alias("_before"))
     inside = F.sum(n).over(Window.partitionBy("_zone").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
@@ -162,6 +243,26 @@ def density(df: DataFrame, column: str, points: int = 100, bins: int = 200) -> D
     return grid.crossJoin(F.broadcast(b)).groupBy("x").agg((F.sum(F.col("n") * F.exp(-z * z / 2)) / (s["n_valid"] * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
+def density_of(s: dict, bins: list[dict], points: int = 100) -> list[dict]:
+    """(x, density) from a summary and its histogram, by the same rule as `density`; nothing is read again."""
+    if not s["n_valid"] or not s["sd"] or not bins:
+        return []
+    h = 0.9 * min(s["sd"], (s["iqr"] or 0) / 1.34 or s["sd"]) * s["n_valid"] ** -0.2
+    out = []
+    for i in range(points):
+        x = s["min"] - 3 * h + i * (s["max"] - s["min"] + 6 * h) / (points - 1)
+        total = sum(b["n"] * math.exp(-(((x - (b["low"] + b["high"]) / 2) / h) ** 2) / 2) for b in bins if b["n"])
+        out.append({"x": x, "density": total / (s["n_valid"] * h * math.sqrt(2 * math.pi))})
+    return out
+
+
+def normal_quantiles(s: dict) -> list[dict]:
+    """(p, theoretical, observed) of the summary's quantiles beside a normal distribution with the same mean and deviation."""
+    from statistics import NormalDist
+
+    return [{"p": p, "theoretical": s["mean"] + (s["sd"] or 0.0) * NormalDist().inv_cdf(p), "observed": float(s[name])} for name, p in sorted(QUANTILES.items(), key=lambda x: x[1])]
+
+
 def qq(df: DataFrame, column: str, points: int = 99, error: float = 0.0) -> DataFrame:
     """(p, theoretical, observed): quantiles beside those of a normal distribution with the same mean and deviation."""
     from statistics import NormalDist

@@ -11,10 +11,22 @@ from descry.operators.freq import everything
 from descry.operators.numeric import histogram, quantiles, running
 
 
+#: Levels of a column in a full grid.
+MOST_LEVELS = 1000
+
+
+def few_levels(df: DataFrame) -> None:
+    """Refuse pairs whose full grid would grow with the product of many levels; chi_square, which needs the cells that occur only, takes any."""
+    a, b = df.agg(F.approx_count_distinct("a"), F.approx_count_distinct("b")).first()
+    if max(a, b) > 1.1 * MOST_LEVELS:
+        raise ValueError(f"a grid of about {a} by {b} levels: fold rare levels first, at most {MOST_LEVELS} a column")
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n, of_all, of_row, of_column) over the full grid of levels, zero cells included."""
     src = df.select(level(df, a).alias("a"), level(df, b).alias("b")).where("a is not null and b is not null")
     seen = src.groupBy("a", "b").agg(F.count("*").alias("n"))
+    few_levels(src)
     grid = seen.select("a").distinct().crossJoin(F.broadcast(seen.select("b").distinct()))
     full = grid.join(seen, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
     return full.select("a", "b", "n", share(F.col("n"), F.sum("n").over(everything())).alias("of_all"), share(F.col("n"), F.sum("n").over(Window.partitionBy("a"))).alias("of_row"), share(F.col("n"), F.sum("n").over(Window.partitionBy("b"))).alias("of_column"))
@@ -87,10 +99,11 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n and Kendall's tau-b from the contingency table, for columns of few levels."""
+    few_levels(_numbers(df, a, b))
     t = _numbers(df, a, b).groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
     x, y = t.alias("x"), t.alias("y")
     sign = F.signum(F.col("x.a") - F.col("y.a")) * F.signum(F.col("x.b") - F.col("y.b"))
-    both = x.crossJoin(y).agg(F.sum(F.col("x.n") * F.col("y.n") * sign).alias("s"))
+    both = x.crossJoin(F.broadcast(y)).agg(F.sum(F.col("x.n") * F.col("y.n") * sign).alias("s"))
     total = t.agg(F.sum("n").alias("n"))
     ties = lambda c: t.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias(f"t{c}"))
     got = both.crossJoin(total).crossJoin(ties("a")).crossJoin(ties("b"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from descry.functions.dates import UNITS, cycle, period
+from descry.functions.dates import FORMATS, UNITS, cycle, formats, period
 from descry.functions.values import col, share
+from descry.operators.numeric import following
 
 
 def instants(df: DataFrame, column: str) -> DataFrame:
@@ -26,6 +27,20 @@ def granularity(df: DataFrame, column: str) -> DataFrame:
     return got.select(F.coalesce(*[F.when(F.col(u), u) for u in UNITS], F.when(F.col("second").isNotNull(), "subsecond")).alias("granularity"))
 
 
+def text_formats(df: DataFrame, column: str) -> DataFrame:
+    """(format, n, share): texts that fit each date format, all counted in one pass."""
+    got = df.agg(F.count(col(column)).alias("n_valid"), *formats(col(column)))
+    names = ", ".join("'" + f.replace("'", "\\'") + "', `" + f + "`" for f in FORMATS)
+    return got.select("n_valid", F.expr(f"stack({len(FORMATS)}, {names}) as (format, n)")).select("format", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
+
+
+def dominant_format(df: DataFrame, column: str) -> dict | None:
+    """The format that most texts fit (ties: the one tried first), or None."""
+    got = [r.asDict() for r in text_formats(df, column).collect()]
+    best = max(got, key=lambda r: (r["n"], -FORMATS.index(r["format"])))
+    return best if best["n"] else None
+
+
 def per_period(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
     """(period, n)."""
     return instants(df, column).where("t is not null").groupBy(period(F.col("t"), unit).alias("period")).agg(F.count("*").alias("n"))
@@ -34,7 +49,7 @@ def per_period(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
 def gaps(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
     """(after, before, empty): neighbouring periods with rows that have `empty` periods without any between them."""
     step = {"second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY", "week": "WEEK", "month": "MONTH", "quarter": "QUARTER", "year": "YEAR"}[unit]
-    p = per_period(df, column, unit).select("period", F.lead("period").over(Window.orderBy("period")).alias("next"))
+    p = following(per_period(df, column, unit).select("period", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("period")).alias("_at")), "_at", "period", "next")
     return p.select(F.col("period").alias("after"), F.col("next").alias("before"), (F.timestamp_diff(step, F.col("period"), F.col("next")) - 1).alias("empty")).where("empty > 0")
 
 
@@ -76,8 +91,8 @@ def durations(df: DataFrame, start: str, end: str, name: str = "seconds") -> Dat
 
 def duration_summary(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
     """One row of numeric.summary in seconds, with the number of negative durations."""
-    from descry.operators import numeric
     from descry.functions.values import number
+    from descry.operators import numeric
 
     negative = df.agg(F.count_if(number(df, column) < 0).alias("n_negative"))
     return numeric.summary(df, column, error).crossJoin(negative)

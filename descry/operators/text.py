@@ -35,7 +35,7 @@ def extremes(df: DataFrame, column: str, size: int = 10) -> DataFrame:
 
 def patterns(df: DataFrame, column: str) -> DataFrame:
     """(pattern, n, share): values of each known format."""
-    c = F.trim(col(column))
+    c = strings.strip(col(column))
     got = df.agg(F.count(c).alias("n_valid"), *[F.count_if(c.rlike(rule)).alias(name) for name, rule in strings.PATTERNS.items()])
     names = ", ".join(f"'{p}', `{p}`" for p in strings.PATTERNS)
     return got.select("n_valid", F.expr(f"stack({len(strings.PATTERNS)}, {names}) as (pattern, n)")).select("pattern", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
@@ -48,7 +48,7 @@ def dominant_pattern(df: DataFrame, column: str) -> DataFrame:
 
 def violations(df: DataFrame, column: str, pattern: str, size: int = 10) -> DataFrame:
     """(value): different values that don't adhere to a format, the first ones by text."""
-    return df.select(col(column).alias("value")).where(~F.trim("value").rlike(strings.PATTERNS[pattern])).distinct().orderBy("value").limit(size)
+    return df.select(col(column).alias("value")).where(~strings.strip(F.col("value")).rlike(strings.PATTERNS[pattern])).distinct().orderBy("value").limit(size)
 
 
 def masks(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
@@ -68,7 +68,7 @@ def cases(df: DataFrame, column: str) -> DataFrame:
 def disguised(df: DataFrame, column: str) -> DataFrame:
     """One row: values that stand for a missing one, and texts that could be cast to a number."""
     c = col(column)
-    return df.agg(F.count(c).alias("n_valid"), F.count_if(strings.disguised(c)).alias("disguised"), share(F.count_if(strings.disguised(c)), F.count(c)).alias("share"), F.count(F.trim(c).try_cast("double")).alias("castable"))
+    return df.agg(F.count(c).alias("n_valid"), F.count_if(strings.disguised(c)).alias("disguised"), share(F.count_if(strings.disguised(c)), F.count(c)).alias("share"), F.count(strings.strip(c).try_cast("double")).alias("castable"))
 
 
 def dirt(df: DataFrame, column: str) -> DataFrame:

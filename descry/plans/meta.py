@@ -10,6 +10,8 @@ from descry.config import Config
 from descry.functions.dates import parse
 from descry.functions.values import batch_only, clean, col, instant, numeric
 
+#: Fixed value: the mask of a postal code.
+CODE = r"^[0-9]{5}-?[0-9]{3}$"
 NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
@@ -56,10 +58,19 @@ def collect_metadata(df: DataFrame, config: Config | None = None) -> dict[str, d
     out = {r["column"]: {"dtype": r.dtype, "n": r.n, "n_valid": r.n_valid, "n_distinct": r.k, "all_integer": r.all_integer, "parse_date_rate": None} for r in column_metadata(part).collect()}
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if strings:
-        head = by_hash(part.select(*[col(c).alias(c) for c in strings]), config.date_parse_rows)
-        got = head.agg(*[x for i, c in enumerate(strings) for x in (F.count(col(c)).alias(f"n{i}"), F.count(parse(col(c))).alias(f"p{i}"))]).first()
+        tried = None
+        for i, c in enumerate(strings):  # of each column, so many values that aren't null
+            some = by_hash(part.where(col(c).isNotNull()), config.date_parse_rows).select(F.lit(i).alias("i"), col(c).alias("v"))
+            tried = some if tried is None else tried.unionByName(some)
+        seen = {r["i"]: r for r in tried.groupBy("i").agg(F.count("*").alias("n"), F.count(parse(F.col("v"))).alias("dates"), F.count_if(F.col("v").rlike(CODE)).alias("codes")).collect()}
         for i, c in enumerate(strings):
-            out[c] |= {"parse_date_rate": got[f"p{i}"] / got[f"n{i}"] if got[f"n{i}"] else 0.0, "parse_date_n": got[f"n{i}"]}
+            n, dates, codes = (seen[i]["n"], seen[i]["dates"], seen[i]["codes"]) if i in seen else (0, 0, 0)
+            out[c] |= {"parse_date_rate": dates / n if n else 0.0, "parse_date_n": n, "code_rate": codes / n if n else 0.0}
+    numbers = [f.name for f in df.schema.fields if numeric(f.dataType)]
+    if numbers:
+        ends = part.agg(*[e for i, c in enumerate(numbers) for e in (F.min(clean(df, c)).cast("double").alias(f"a{i}"), F.max(clean(df, c)).cast("double").alias(f"b{i}"))]).first()
+        for i, c in enumerate(numbers):
+            out[c] |= {"min": ends[f"a{i}"], "max": ends[f"b{i}"]}
     for f in df.schema.fields:
         out[f.name]["instant"] = instant(f.dataType)
     return out

@@ -12,14 +12,24 @@ from descry.kinds import VariableType
 
 NUMBERS = re.compile(r"(tinyint|smallint|int|bigint|float|double|decimal.*)$")
 CODES = re.compile(r"(^|_)(zip|zipcode|cep|code|codigo|cod|postal|ncm|cnpj|cpf|year|ano)($|_)", re.I)
+YEARS = (1900, 2100)
 RANKS = re.compile(r"(^|[._ ])(rank|position|posicao|place)($|[._ ])", re.I)
 
 
+def code_like(meta: dict, name: str) -> bool:
+    """By the name, by whole numbers that could all be years, or by texts that nearly all are postal codes. It only warns."""
+    if not NUMBERS.match(meta["dtype"]):
+        return (meta.get("code_rate") or 0) >= 0.9
+    low, high = meta.get("min"), meta.get("max")
+    years = meta["all_integer"] and low is not None and YEARS[0] <= low and high <= YEARS[1] and (meta["n_distinct"] or 0) > 2
+    return bool(CODES.search(name) or years)
+
+
 def route(meta: dict, config: Config | None = None, name: str = "", levels: list[str] | None = None) -> VariableType:
     """The kind of one column from its metadata. `levels`: declared or detected order of its labels."""
     config = config or Config()
     dtype, n, k = meta["dtype"], meta["n_valid"], meta["n_distinct"]
-    warnings = ["looks like a code: check whether it is a quantity"] if CODES.search(name) and NUMBERS.match(dtype) else []
+    warnings = ["looks like a code: check whether it is a quantity"] if code_like(meta, name) else []
     if k is None:
         return VariableType(C.UNSUPPORTED, confidence=1.0, warnings=["nested or binary values"])
     if not n:
@@ -46,8 +56,8 @@ def route(meta: dict, config: Config | None = None, name: str = "", levels: list
     if k == 2:
         return VariableType(C.QUALITATIVE, S.BINARY, confidence=0.8)
     if k / n > config.textual_unique_ratio:
-        return VariableType(C.QUALITATIVE, S.NOMINAL, R.TEXTUAL, 0.8)
-    return VariableType(C.QUALITATIVE, S.NOMINAL, R.CATEGORICAL if k <= config.max_categorical_levels else R.LONG_TAIL, 0.8)
+        return VariableType(C.QUALITATIVE, S.NOMINAL, R.TEXTUAL, 0.8, warnings=warnings)
+    return VariableType(C.QUALITATIVE, S.NOMINAL, R.CATEGORICAL if k <= config.max_categorical_levels else R.LONG_TAIL, 0.8, warnings=warnings)
 
 
 def infer_schema(metadata: dict[str, dict], overrides: dict[str, VariableType] | None = None, config: Config | None = None, orders: dict[str, list[str]] | None = None) -> dict[str, VariableType]:

@@ -7,7 +7,33 @@ from typing import Any
 
 from descry.profiles import DatasetProfile
 
-STYLE = "body{font:15px/1.5 system-ui;margin:2rem auto;max-width:60rem;background:#fafafa;color:#1d2430}section{background:#fff;border:1px solid #dde;border-radius:6px;padding:1rem 1.5rem;margin:1rem 0}table{border-collapse:collapse;margin:.5rem 0}td,th{border-bottom:1px solid #e4e6ee;padding:.15rem .8rem;text-align:left}.bar{background:#3d6fb6;height:.7rem;display:inline-block}.route{color:#3d6fb6}"
+# The colours and fonts of the visual identity.
+COLOURS = {
+    "background": "#0A0E1A",
+    "panel": "#101828",
+    "highlight": "#00E5FF",
+    "text": "#E6F7FF",
+    "action": "#FF2E88",
+    "decision": "#9D4EDD",
+    "border": "#3A4A63",
+    "secondary": "#8FA3BF",
+    "warning": "#FFB03A",
+    "success": "#3DF5C6",
+    "error": "#FF4757",
+}
+DISPLAY, BODY, MONO = '"Rajdhani", "Segoe UI", sans-serif', '"Space Grotesk", "Segoe UI", sans-serif', '"JetBrains Mono", Consolas, monospace'
+RULES = {
+    "body": f"font:15px/1.5 {BODY};margin:2rem auto;max-width:60rem;background:{COLOURS['background']};color:{COLOURS['text']}",
+    "h1,h2,h4": f"font-family:{DISPLAY};color:{COLOURS['highlight']}",
+    "section": f"background:{COLOURS['panel']};border:1px solid {COLOURS['border']};border-radius:6px;padding:1rem 1.5rem;margin:1rem 0",
+    "table": f"border-collapse:collapse;margin:.5rem 0;font-family:{MONO};font-size:13px",
+    "td,th": f"border-bottom:1px solid {COLOURS['border']};padding:.15rem .8rem;text-align:left",
+    "th,summary,.charts": f"color:{COLOURS['secondary']}",
+    ".bar": f"background:{COLOURS['highlight']};height:.7rem;display:inline-block",
+    ".route": f"color:{COLOURS['decision']}",
+    ".warning": f"color:{COLOURS['warning']}",
+}
+STYLE = "".join(f"{name}{{{rule}}}" for name, rule in RULES.items())
 
 
 def cell(x: Any) -> str:
@@ -34,8 +60,8 @@ def html(profile: DatasetProfile) -> str:
             parts.append(f"<details{' open' if layer == 'essential' else ''}><summary>{escape(layer)}</summary>" + table([{"stat": k, "value": v} for k, v in plain.items()]))
             parts += [f"<h4>{escape(k)}</h4>{table(v)}" for k, v in stats.items() if isinstance(v, list) and v and isinstance(v[0], dict)]
             parts.append("</details>")
-        parts += [f"<p><em>{escape(x)}</em></p>" for x in [*c.notes, *c.inferred_type.warnings]]
+        parts += [f"<p class=warning>{escape(x)}</p>" for x in [*c.notes, *c.inferred_type.warnings]]
         if c.viz_suggestions:
-            parts.append("<p>Charts: " + ", ".join(f"{escape(v.chart)} ({escape(v.reason)})" for v in c.viz_suggestions) + "</p>")
+            parts.append("<p class=charts>Charts: " + ", ".join(f"{escape(v.chart)} ({escape(v.reason)})" for v in c.viz_suggestions) + "</p>")
         parts.append("</section>")
     return "".join(parts)

@@ -42,13 +42,18 @@ def csv_any(spark: SparkSession, path: str, rows: int | None = None) -> DataFram
         for sep in SEPARATORS:
             # names first, without a pass for the types
             names = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
-            head = " ".join([*names.columns, *[str(x) for r in names.take(50) for x in r]])
-            if len(names.columns) > 1 and "�" not in head:
+            if len(names.columns) > 1 and not broken(names):
                 return csv(spark, path, sep, encoding, rows, "DROPMALFORMED")
             last = last or names
     return csv(spark, path, rows=rows)
 
 
+def broken(df: DataFrame) -> bool:
+    """Whether a name or any value holds the mark that stands for bytes that the encoding doesn't know; one pass over the whole file, up to the first."""
+    mark = "\ufffd"
+    return any(mark in c for c in df.columns) or not df.where(F.concat_ws("", *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).contains(mark)).isEmpty()
+
+
 def nested_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
@@ -64,8 +69,11 @@ def largest_csv(spark: SparkSession, folder: str) -> str | None:
     return got.path if got else None
 
 
-def flatten(df: DataFrame) -> DataFrame:
-    """Nested structs as columns with dotted names."""
+def flatten(df: DataFrame, explode: bool = False) -> DataFrame:
+    """Nested structs as columns with dotted names. explode: arrays become rows, one array after another (an empty or null one keeps its row)."""
+    while explode and (lists := [c for c, kind in flatten(df).dtypes if kind.startswith("array")]):
+        df = flatten(df)
+        df = df.select(*[F.explode_outer(f"`{c}`").alias(c) if c == lists[0] else F.col(f"`{c}`") for c in df.columns])
     out = []
 
     def walk(prefix: list[str], fields: Iterable) -> None:

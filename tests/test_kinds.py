@@ -8,18 +8,29 @@ def meta(dtype="bigint", n=1000, k=10, integer=True, **more):
     return {"dtype": dtype, "n": n, "n_valid": n, "n_distinct": k, "all_integer": integer, "parse_date_rate": None} | more
 
 
-def test_valid_subtype():
-    assert VariableType(VariableClass.QUALITATIVE, VariableSubtype.NOMINAL).confidence == 1.0
+FITS = {"nominal": "qualitative", "ordinal": "qualitative", "binary": "qualitative", "discrete": "quantitative", "continuous": "quantitative", "instant": "temporal", "duration": "temporal"}
 
 
-def test_invalid_subtype():
-    with pytest.raises(ValueError):
-        VariableType(VariableClass.QUALITATIVE, VariableSubtype.CONTINUOUS)
+@pytest.mark.parametrize("kind", VariableClass)
+@pytest.mark.parametrize("subtype", [None, *VariableSubtype])
+@pytest.mark.parametrize("regime", [None, *CardinalityRegime])
+def test_what_fits_together(kind, subtype, regime):
+    ok = subtype is None or FITS[subtype.value] == kind.value
+    ok &= regime is None or subtype is not None and regime.value in {"nominal": ("categorical", "long_tail", "textual"), "discrete": ("table", "histogram")}.get(subtype.value, ())
+    if not ok:
+        with pytest.raises(ValueError):
+            VariableType(kind, subtype, regime)
+        return
+    got = VariableType(kind, subtype, regime)
+    assert bool(got.warnings) == (subtype is VariableSubtype.ORDINAL)
+    assert not VariableType(kind, subtype, regime, ordered_levels=["a", "b"]).warnings
 
 
-def test_ordinal_without_and_with_levels():
-    assert VariableType(VariableClass.QUALITATIVE, VariableSubtype.ORDINAL).warnings
-    assert not VariableType(VariableClass.QUALITATIVE, VariableSubtype.ORDINAL, ordered_levels=["a", "b"]).warnings
+def test_codes_only_warn():
+    years = meta(k=40) | {"min": 1950.0, "max": 2020.0}
+    assert route(years, name="built").warnings and route(years, name="built").route == "discrete[histogram]"
+    assert not route(years | {"max": 9000.0}, name="built").warnings
+    assert route(meta("string", k=500) | {"code_rate": 0.95}, name="where").warnings
 
 
 @pytest.mark.parametrize(
