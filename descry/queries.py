@@ -129,16 +129,48 @@ add("ecdf", "part", lambda d: numeric.ecdf(d, "p_size"), "WITH v AS (SELECT CAST
 FENCE = "WITH q AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, quantile_cont({c}, 0.75) AS q3 FROM {t}), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q) "
 add("outliers_iqr", "lineitem", lambda d: numeric.outliers(d, "l_extendedprice"), FENCE.replace("{c}", "l_extendedprice") + "SELECT lo AS low_fence, hi AS high_fence, count(*) FILTER (WHERE l_extendedprice < lo OR l_extendedprice > hi) AS outliers, count(*) FILTER (WHERE l_extendedprice < lo OR l_extendedprice > hi) / CAST(count(*) AS DOUBLE) AS share, min(l_extendedprice) FILTER (WHERE l_extendedprice >= lo AND l_extendedprice <= hi) AS low_whisker, max(l_extendedprice) FILTER (WHERE l_extendedprice >= lo AND l_extendedprice <= hi) AS high_whisker FROM {t}, f GROUP BY lo, hi")
 add("boxplot", "events", lambda d: numeric.boxplot(d, "value"), FENCE.replace("{c}", "value") + "SELECT q1, median, q3, min(value) FILTER (WHERE value >= lo AND value <= hi) AS low_whisker, max(value) FILTER (WHERE value >= lo AND value <= hi) AS high_whisker, count(*) FILTER (WHERE value < lo OR value > hi) AS outliers FROM {t}, f GROUP BY q1, median, q3")
-add("density", "events", lambda d: numeric.density(d, "value"))
-add("quantile_plot", "orders", lambda d: numeric.qq(d, "o_totalprice"))
+DENSITY = """
+    WITH s AS (SELECT count(value) AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM {t}),
+    h AS (SELECT *, 0.9 * least(sd, CASE WHEN iqr = 0 THEN sd ELSE iqr / 1.34 END) * pow(n, -0.2) AS h FROM s),
+    b AS (SELECT least(floor((value - lo) / ((hi - lo) / 200)), 199) AS bin, count(*) AS k FROM {t}, s WHERE value IS NOT NULL GROUP BY 1),
+    m AS (SELECT lo + (bin + 0.5) * ((hi - lo) / 200) AS m, k FROM b, s),
+    g AS (SELECT lo - 3 * h + i * ((hi - lo + 6 * h) / 99) AS x FROM h, range(100) AS r(i))
+    SELECT x, sum(k * exp(-((x - m) / h) * ((x - m) / h) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS density FROM g, m, h GROUP BY x
+"""
+add("density", "events", lambda d: numeric.density(d, "value"), DENSITY)
+
+
+def normal_quantile(p: float) -> float:
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
+add("quantile_plot", "orders", lambda d: numeric.qq(d, "o_totalprice"), " UNION ALL ".join(
+    f"SELECT CAST({i / 100!r} AS DOUBLE) AS p, avg(o_totalprice) + stddev_samp(o_totalprice) * CAST({normal_quantile(i / 100)!r} AS DOUBLE) AS theoretical, quantile_cont(o_totalprice, {i / 100!r}) AS observed FROM {{t}}" for i in range(1, 100)))
 add("approximate_summary", "lineitem", lambda d: numeric.summary(d, "l_extendedprice", 0.01))
 
+
+def approximate_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each quantile of a sketch has a rank within the stated error."""
+    lines = table(spark, sf_dir, "lineitem")
+    s = numeric.summary(lines, "l_extendedprice", 0.01).first()
+    x = F.col("l_extendedprice")
+    ends = lines.agg(*[e for name in numeric.QUANTILES for e in (F.avg((x < s[name]).cast("double")).alias(f"{name} below"), F.avg((x <= s[name]).cast("double")).alias(f"{name} upto"))]).first()
+    rows = [(name, q, bool(ends[f"{name} below"] <= q + 0.01 and ends[f"{name} upto"] >= q - 0.01)) for name, q in numeric.QUANTILES.items()]
+    return spark.createDataFrame(rows, "quantile string, p double, within boolean")
+
+
+QUERIES["approximate_ranks"] = approximate_ranks
+ORACLE_SQL["approximate_ranks"] = " UNION ALL ".join(f"SELECT '{name}' AS quantile, CAST({q} AS DOUBLE) AS p, true AS within" for name, q in numeric.QUANTILES.items())
+
 # instants and durations
 add("instant_coverage", "events", lambda d: temporal.coverage(d, "ts"), "SELECT count(*) AS n, count(ts) AS n_valid, count(DISTINCT ts) AS k, CAST(min(ts) AS TIMESTAMP) AS first, CAST(max(ts) AS TIMESTAMP) AS last, date_diff('microsecond', min(ts), max(ts)) / 86400000000.0 AS days FROM {t}")
 GRAN = "SELECT CASE " + " ".join(f"WHEN bool_and({{c}} = date_trunc('{u}', {{c}})) THEN '{u}'" for u in ("year", "quarter", "month", "week", "day", "hour", "minute", "second")) + " WHEN count({c}) > 0 THEN 'subsecond' END AS granularity FROM {t}"
 add("instant_granularity", "orders", lambda d: temporal.granularity(d, "o_orderdate"), GRAN.replace("{c}", "o_orderdate"))
 add("instant_granularity_events", "events", lambda d: temporal.granularity(d, "ts"), GRAN.replace("{c}", "ts"))
 add("instant_per_period", "events", lambda d: temporal.per_period(d, "ts", "hour"), "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS period, count(*) AS n FROM {t} GROUP BY 1")
+add("discrete_hole_ranges", "part", lambda d: numeric.hole_ranges(d.where("p_size % 7 > 2"), "p_size"), "WITH v AS (SELECT DISTINCT CAST(p_size AS BIGINT) AS v FROM {t} WHERE p_size % 7 > 2), g AS (SELECT v, lead(v) OVER (ORDER BY v) AS w FROM v) SELECT v + 1 AS low, w - 1 AS high, w - v - 1 AS n FROM g WHERE w > v + 1")
 add("instant_gaps", "orders", lambda d: temporal.gaps(d.where("month(o_orderdate) <> 3"), "o_orderdate", "day"), "WITH p AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS p FROM {t} WHERE month(o_orderdate) <> 3), g AS (SELECT p, lead(p) OVER (ORDER BY p) AS q FROM p) SELECT CAST(p AS TIMESTAMP) AS after, CAST(q AS TIMESTAMP) AS before, date_diff('day', p, q) - 1 AS empty FROM g WHERE date_diff('day', p, q) > 1")
 add("instant_dups", "lineitem", lambda d: temporal.duplicates(d, "l_shipdate"), "SELECT CAST(l_shipdate AS TIMESTAMP) AS instant, count(*) AS n FROM {t} GROUP BY 1 HAVING count(*) > 1")
 add("instant_cycles", "events", lambda d: temporal.cycles(d, "ts"), "WITH c AS (" + " UNION ALL ".join(f"SELECT '{p}' AS part, CAST({e} AS BIGINT) AS value, count(*) AS n FROM {{t}} GROUP BY 2" for p, e in (("month", "month(ts)"), ("quarter", "quarter(ts)"), ("weekday", "isodow(ts)"), ("hour", "hour(ts)"))) + ") SELECT part, value, n, n / CAST(sum(n) OVER (PARTITION BY part) AS DOUBLE) AS share FROM c")
@@ -174,8 +206,9 @@ add("text_dominant_pattern", "pages", lambda d: text.dominant_pattern(d, "url"),
 add("text_violations", "part", lambda d: text.violations(d.select(F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'https://x.org/' || p_partkey END").alias("v")), "v", "url"), "SELECT DISTINCT p_name AS value FROM {t} WHERE p_partkey % 3 = 0 ORDER BY value LIMIT 10")
 add("text_mask", "customer", lambda d: text.masks(d, "c_name"), "SELECT regexp_replace(regexp_replace(regexp_replace(c_name, '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g'), '\\p{Nd}', '9', 'g') AS mask, count(*) AS n FROM {t} GROUP BY 1")
 add("text_case", "part", lambda d: text.cases(d.select(F.expr("CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN initcap(p_name) WHEN 2 THEN '12 ' ELSE p_name END").alias("v")), "v"), "WITH c AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'upper' WHEN p_partkey % 4 = 1 THEN 'title' WHEN p_partkey % 4 = 2 THEN 'none' ELSE 'lower' END AS style, count(*) AS n FROM {t} GROUP BY 1) SELECT style, n, n / CAST(sum(n) OVER () AS DOUBLE) AS share FROM c")
-HIDE = "CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN ' N/A ' WHEN 2 THEN 'null' WHEN 3 THEN '-' WHEN 4 THEN '12.5' WHEN 5 THEN 'Sem Informação' ELSE p_name END"
-add("text_disguised", "part", lambda d: text.disguised(d.select(F.expr(HIDE).alias("v")), "v"), f"WITH s AS (SELECT {HIDE} AS v FROM {{t}}) SELECT count(v) AS n_valid, count(*) FILTER (WHERE lower(trim(v)) IN ('', 'n/a', 'null', '-', 'sem informação')) AS disguised, count(*) FILTER (WHERE lower(trim(v)) IN ('', 'n/a', 'null', '-', 'sem informação')) / CAST(count(v) AS DOUBLE) AS share, count(try_cast(trim(v) AS DOUBLE)) AS castable FROM s")
+HIDE = "CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN ' N/A ' WHEN 2 THEN 'null' WHEN 3 THEN '-' WHEN 4 THEN '12.5' WHEN 5 THEN 'Sem Informação' WHEN 6 THEN chr(9) || 'N/A' || chr(12288) ELSE p_name END"
+EDGES = "regexp_replace(regexp_replace(v, '^[\\s\\x{00A0}\\x{3000}]+', ''), '[\\s\\x{00A0}\\x{3000}]+$', '')"
+add("text_disguised", "part", lambda d: text.disguised(d.select(F.expr(HIDE.replace('chr(12288)', "'\u3000'")).alias("v")), "v"), f"WITH s AS (SELECT {HIDE} AS v FROM {{t}}) SELECT count(v) AS n_valid, count(*) FILTER (WHERE lower({EDGES}) IN ('', 'n/a', 'null', '-', 'sem informação')) AS disguised, count(*) FILTER (WHERE lower({EDGES}) IN ('', 'n/a', 'null', '-', 'sem informação')) / CAST(count(v) AS DOUBLE) AS share, count(try_cast({EDGES} AS DOUBLE)) AS castable FROM s")
 SPOIL = "CASE doc_id % 8 WHEN 0 THEN ' ' || text WHEN 1 THEN text || '  x' WHEN 2 THEN text || chr(8203) WHEN 3 THEN text || 'Ã©' WHEN 4 THEN text || 'б' WHEN 5 THEN text || '<br>' WHEN 6 THEN text || 'zzzz' ELSE text END"
 _ALPHABET = [chr(c) for c in (*range(32, 127), *range(0xA1, 0x250)) if chr(c) != "'"] + ["\\n", "\\t"]
 _LETTERS = "|".join((f"[{c}]" if c not in "[]^\\-\\n\\t" else ("\\" + c if len(c) == 1 else c)) + "{4}" for c in _ALPHABET)
@@ -190,7 +223,11 @@ add("pair_contingency", "lineitem", lambda d: pair.contingency(d, "l_returnflag"
 add("pair_chi2", "lineitem", lambda d: pair.chi_square(d, "l_returnflag", "l_linestatus"), _AB + ", e AS (SELECT a, b, n, sum(n) OVER (PARTITION BY a) * CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) / sum(n) OVER () AS e FROM g) SELECT CAST(sum(n) AS BIGINT) AS n, count(DISTINCT a) AS levels_a, count(DISTINCT b) AS levels_b, sum((n - e) * (n - e) / e) AS chi2, sqrt(sum((n - e) * (n - e) / e) / (sum(n) * (least(count(DISTINCT a), count(DISTINCT b)) - 1))) AS cramers_v FROM e")
 add("pair_group_stats", "events", lambda d: pair.group_stats(d, "event_type", "value"), "SELECT event_type AS category, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, min(value) AS min, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, max(value) AS max FROM {t} WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY 1")
 add("pair_group_boxes", "events", lambda d: pair.group_boxes(d, "event_type", "value"), "WITH q AS (SELECT event_type AS category, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM {t} GROUP BY 1), f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q) SELECT category, q1, median, q3, min(value) FILTER (WHERE value >= lo AND value <= hi) AS low_whisker, max(value) FILTER (WHERE value >= lo AND value <= hi) AS high_whisker, count(*) FILTER (WHERE value < lo OR value > hi) AS outliers FROM {t} JOIN f ON f.category = event_type GROUP BY 1, 2, 3, 4")
-add("pair_densities", "events", lambda d: pair.group_densities(d, "event_type", "value", 10))
+add("pair_densities", "events", lambda d: pair.group_densities(d, "event_type", "value", 10), """
+    WITH s AS (SELECT min(value) AS lo, (max(value) - min(value)) / 10 AS w FROM {t}),
+    c AS (SELECT event_type AS category, CAST(least(floor((value - lo) / w), 9) AS BIGINT) AS bin, count(*) AS n FROM {t}, s WHERE event_type IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)
+    SELECT category, bin, lo + bin * w AS low, lo + (bin + 1) * w AS high, n, n / (sum(n) OVER (PARTITION BY category) * w) AS density FROM c, s
+""")
 add("pair_corr", "lineitem", lambda d: pair.correlation(d, "l_quantity", "l_extendedprice"), "SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS pearson FROM {t}")
 RANKS = "WITH r AS (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb FROM {t})"
 add("pair_spearman", "lineitem", lambda d: pair.spearman(d, "l_quantity", "l_discount"), RANKS.replace("{a}", "l_quantity").replace("{b}", "l_discount") + " SELECT count(*) AS n, corr(ra, rb) AS spearman FROM r")
