@@ -95,15 +95,73 @@ def test_scores_do_not_depend_on_neighbours():
     assert net.score(np.array([0, 225]), np.frombuffer(rows[0][0].encode(), np.uint8)[:225])[0] > 0.5
 
 
-def test_toxic_windows_by_brute_force():
+def folded(text):
+    return "".join(" " if c.isspace() or ord(c) < 32 or ord(c) == 127 else c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def plain_model(rows):
+    """Kneser-Ney by dictionaries: rows of (text, toxic) -> {gram or context: ratio as a byte}."""
+    n, d, order = [{}, {}], toxicity.DISCOUNT, toxicity.ORDER
+    for text, toxic in rows:
+        sym = " " * (order - 1) + folded(text or "")
+        for i in range(len(sym) - order + 1):
+            g = sym[i : i + order]
+            n[toxic][g] = n[toxic].get(g, 0) + 1
+    seen = set(n[0]) | set(n[1])
+    levels = [seen]
+    cont = {}
+    for size in range(order - 1, 0, -1):
+        now = {}
+        for g in levels[-1]:
+            now[g[1:]] = now.get(g[1:], 0) + 1
+        cont[size] = now
+        levels.append(set(now))
+
+    def lower(g):
+        now = cont[len(g)]
+        group = {x: k for x, k in now.items() if x[:-1] == g[:-1]}
+        total, types = sum(group.values()), len(group)
+        below = 1 / (types + 1) if len(g) == 1 else lower(g[1:])
+        return max(now[g] - d, 0) / total + d * types / total * below
+
+    byte = lambda x: int(max(-127, min(127, np.floor(abs(x) * toxicity.SCALE + 0.5) * np.sign(x))))
+    out = {}
+    for g in seen:
+        p, back = [], []
+        for c in (0, 1):
+            group = [k for x, k in n[c].items() if x[:-1] == g[:-1]]
+            b = d * len(group) / sum(group) if group else 1.0
+            p.append((max(n[c].get(g, 0) - d, 0) / sum(group) if group else 0) + b * lower(g[1:]))
+            back.append(b)
+        out[g] = byte(np.log(p[1]) - np.log(p[0]))
+        out[g[:-1]] = byte(np.log(back[1]) - np.log(back[0]))
+    return out
+
+
+WILD = ["", "a", "Short TEXT", "a longer text\twith some words in it", "", "zz top", "\u0416\u0443\u0440 \u0436\u0443\u0440 \u65e5\u672c\u8a9e", "\u0130stanbul \U0001f914\U0001f914 e\u0301", None]
+
+
+def test_kneser_ney_by_dictionaries(spark):
+    rows = [(t, i % 2) for i, t in enumerate(WILD + ["the text is short", "\u0416\u0443\u0440 \u0436\u0430", "words in a text"])]
+    got = toxicity.ratios(toxicity.count(spark.createDataFrame(rows, "text string, _label int"))).collect()
+    want = plain_model(rows)
+    assert {r.gram for r in got} == set(want) and all(abs(r.value - want[r.gram]) <= 1 for r in got)
+    assert sum(r.value != want[r.gram] for r in got) <= 0.01 * len(got)
+
+
+@pytest.mark.parametrize("most", [toxicity.MOST, 0])
+def test_toxic_windows_by_brute_force(spark, most):
+    """Whole texts and windows by dictionary, with the model broadcast and with the model joined."""
     rng = np.random.default_rng(1)
-    model = toxicity.Model(rng.integers(-20, 20, toxicity.GRAMS).astype(np.int8), np.array([1.0, 1.0, 0.0]))
-    texts = ["", "a", "short text", "a longer text with some words in it", "", "zz top"]
-    raw = [t.encode() for t in texts]
-    got = model.compare(np.concatenate([[0], np.cumsum([len(t) for t in raw])]), np.frombuffer(b"".join(raw), np.uint8))
-    for text, (mean, best) in zip(raw, got, strict=True):
-        sym = [0] * (toxicity.ORDER - 1) + [int(toxicity.FOLD[b]) for b in text]
-        v = [int(model.table[sum(s << (toxicity.BITS * (toxicity.ORDER - 1 - k)) for k, s in enumerate(sym[i : i + toxicity.ORDER]))]) for i in range(len(text))]
+    grams = sorted({(" " * 4 + folded(t))[i : i + 5] for t in WILD if t for i in range(len(t))})
+    known = {g: int(rng.integers(-20, 20)) for g in grams[::2]} | {g[:4]: int(rng.integers(-20, 20)) for g in grams[::3]}
+    model = spark.createDataFrame(list(known.items()), "gram string, value byte")
+    docs = spark.createDataFrame(list(enumerate(WILD)), "doc_id long, text string").selectExpr("*", "map('a', 1) as extra")
+    got = {r.doc_id: r for r in toxicity.features(docs, model, "text", most).collect()}
+    assert len(got) == len(WILD) and got[0].extra == {"a": 1}
+    for i, text in enumerate(WILD):
+        sym = " " * 4 + folded(text or "")
+        v = [known.get(sym[k : k + 5], known.get(sym[k : k + 4], 0)) for k in range(len(sym) - 4)]
         n, span = len(v), toxicity.SPAN
-        want = max((sum(v[i : i + span]) for i in range(max(1, n - span + 1))), default=0) / span / toxicity.SCALE
-        assert np.isclose(mean, (sum(v) / n if n else 0) / toxicity.SCALE) and np.isclose(best, want)
+        best = max((sum(v[k : k + span]) for k in range(max(1, n - span + 1))), default=0) / span / toxicity.SCALE
+        assert np.isclose(got[i].mean, (sum(v) / n if n else 0) / toxicity.SCALE) and np.isclose(got[i].best, best)
