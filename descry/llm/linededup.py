@@ -1,14 +1,18 @@
 """Line deduplication by a segment-partition edit join, with DataFrame functions only.
 
-A line of at least MIN_CHARS characters is dropped if the same line stands earlier (in the same document, or in one with a smaller
-id), or if an earlier line is within EDITS edits of it. Shorter lines are left alone. Of a set of linked lines the earliest always stays.
+A line with a letter or digit is dropped if the same line stands earlier (in the same document, or in one with a smaller id); one of
+at least MIN_CHARS characters also if an earlier line is within EDITS edits of it. Of a set of linked lines the earliest always stays.
 
 Two lines within EDITS edits share at least one of EDITS + 1 segments of the shorter one, shifted by a bounded offset. So each
-distinct line is indexed under its segments, and probes those of lines as long or up to EDITS shorter at every offset that the
-lengths leave open (12 keys a line for two edits). Only keys that two different lines share are looked at again; their lines are
-compared by a banded bit-parallel edit distance in a semi join, whose output stays linear in the number of lines, however many lines share a key.
+line is indexed under its segments, and probes those of lines as long or up to EDITS shorter at every offset that the
+lengths leave open (12 keys a line for two edits). Only keys under which an indexed line meets a different one are looked at again; their
+lines are compared by a banded bit-parallel edit distance in a semi join, whose output stays linear in the number of lines.
 
-Documents that share an id count as one document. Nulls stay null and have no lines; an empty text has one empty line, which is short.
+Hot keys and lines: keys that are frequent in a sample of documents (a common beginning of many lines) are no place to compare lines.
+Lines that share such a segment within EDITS edits are also within EDITS edits without it, so they share a segment of the rest as well,
+and meet under both, up to LEVELS times. Lines that make up a ten-thousandth of all lines or more take part once. Both decide the cost, never the result.
+
+Documents that share an id count as one document; ids are of any type that has an order. Nulls stay null and have no lines; blank lines stay.
 """
 
 from __future__ import annotations
@@ -18,9 +22,14 @@ from pyspark.sql import functions as F
 
 from descry.llm.common import beside, checkpoint_dir, cut
 
-EDITS, MIN_CHARS = 2, 20
+EDITS, MIN_CHARS, LEVELS = 2, 20, 3
+#: About so many documents are looked at for hot keys, which are in OFTEN of their lines at least (at most some ten thousand keys).
+SAMPLE, OFTEN = 4000, 20
+#: A line is heavy if it is so large a share of all lines; there are at most 1 / HEAVY of them.
+HEAVY = 1e-4
 #: Letters whose numbers are compared before the lines are: an edit changes them by two at most, together.
 LETTERS = ["e", "t", "a", "o", "i", "n", "s", "hr"]
+WORD = r"[\p{L}\p{N}]"
 
 
 def let(value: Column, body) -> Column:
@@ -29,7 +38,7 @@ def let(value: Column, body) -> Column:
 
 
 def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """`lines` (line, size, ...) with (key, index): a row for each own segment (index) and for each shifted one that a line probes.
+    """`lines` (line, size, ...) with (key, index, rest): a row for each own segment (index) and for each shifted one that a line probes; rest is the line without it.
 
     The places are a short literal array that is exploded, so that one small expression makes all keys. A window that leaves the line is no probe.
     """
@@ -48,7 +57,8 @@ def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     width = base + (F.col("part") >= F.lit(parts) - more).cast("int")
     rows = rows.withColumns({"_n": n, "_begin": begin, "_width": width}).where((F.col("_begin") >= 0) & (F.col("_begin") + F.col("_width") <= F.col("size")))
     key = F.xxhash64("part", "_n", F.substring(F.col("line"), F.col("_begin") + 1, F.col("_width")))
-    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("shift") == 0)}).drop("less", "part", "shift", "_n", "_begin", "_width")
+    rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("_begin")), F.substring(F.col("line"), F.col("_begin") + F.col("_width") + 1, F.col("size")))
+    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("shift") == 0), "rest": rest}).drop("less", "part", "shift", "_n", "_begin", "_width")
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -90,53 +100,128 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["d"] <= edits
 
 
-def tagged(text: Column, min_chars: int) -> Column:
-    """The lines, short ones marked by their place so that they all differ, long ones each once."""
-    return F.array_distinct(F.transform(F.split(text, "\n"), lambda x, i: F.when(F.char_length(x) < min_chars, F.concat(i.cast("string"), F.lit("\n"), x)).otherwise(x)))
+def shared_beginning(a: Column, b: Column) -> Column:
+    """The length of the longest common beginning of two texts, by halves."""
+    n = F.least(F.char_length(a), F.char_length(b))
+    steps = F.sequence(F.ceil(F.log2(n + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
+
+    def grow(done: Column, step: Column) -> Column:
+        more = F.call_function("shiftleft", F.lit(1), step)
+        return F.when((done + more <= n) & (F.substring(a, done + 1, more) == F.substring(b, done + 1, more)), done + more).otherwise(done)
+
+    return F.aggregate(steps, F.lit(0), grow)
+
+
+def near(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """within() of two texts, without what they share at either end (but for `edits` characters): it costs no edit."""
+    short = F.char_length(a)
+
+    def without_beginning(same: Column) -> Column:
+        cut_off = lambda x: F.reverse(F.substring(x, F.least(same, short - edits) + 1, F.char_length(x)))
+        return let(F.struct(cut_off(a).alias("a"), cut_off(b).alias("b")), without_end)
+
+    def without_end(rest: Column) -> Column:
+        same = F.least(shared_beginning(rest["a"], rest["b"]), F.char_length(rest["a"]) - edits)
+        chars = lambda x, n: F.transform(F.split(F.substring(x, n + 1, F.char_length(x)), ""), lambda c: F.ascii(c))
+        return let(same, lambda n: let(F.struct(chars(rest["a"], n).alias("a"), chars(rest["b"], n).alias("b")), lambda m: within(m["a"], m["b"], edits)))
+
+    return let(shared_beginning(a, b), without_beginning)
+
+
+def tagged(text: Column) -> Column:
+    """The lines, blank ones marked by their place so that they all differ, others each once."""
+    return F.array_distinct(F.transform(F.split(text, "\n"), lambda x, i: F.when(x.rlike(WORD), x).otherwise(F.concat(i.cast("string"), F.lit("\n"), x))))
 
 
 def untagged(line: Column) -> Column:
     return F.when(line.contains("\n"), F.substring_index(line, "\n", -1)).otherwise(line)
 
 
-def long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, t, i, line, size, h, h2): distinct long lines of each text; t tells texts apart, (h, h2) lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(tagged(F.col(text_col), min_chars)).alias("i", "line")).where(~F.col("line").contains("\n"))
-    return rows.select("*", F.char_length("line").alias("size"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, i, line, h, h2): distinct lines of each text; t tells texts apart, (h, h2) lines."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(tagged(F.col(text_col))).alias("i", "line")).where(~F.col("line").contains("\n"))
+    return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def frequent(keyed: DataFrame) -> DataFrame:
+    """(key): those in at least OFTEN rows of a sample's keys; as few as the sample is bounded."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("key")
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(h, h2) of the lines with an earlier different line within `edits` edits."""
-    probes = keys(lines.select("id", "i", "line", "size", "h", "h2"), edits)
-    shared = cut(probes.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key"))
-    met = beside(probes, shared, ["key"], "left_semi")
-    first = F.min(F.struct("id", "i", "h", "h2")).alias("at")
-    met = cut(met.groupBy("key", "index", "h", "h2").agg(first, F.first("line").alias("line")).select("key", "index", "h", "h2", "at", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("chars"), *[(F.char_length("line") - F.char_length(F.translate("line", x, ""))).alias(f"c{k}") for k, x in enumerate(LETTERS)]))
-    a, b = met.alias("a"), met.alias("b")
-    # b is the earlier line; one of the two stands under the key as indexed, the longer one (or an equally long one) as probing
-    other = (F.col("a.key") == F.col("b.key")) & (F.col("b.at") < F.col("a.at")) & ((F.col("a.h") != F.col("b.h")) | (F.col("a.h2") != F.col("b.h2")))
+def met(lines: DataFrame, sample: DataFrame, edits: int, level: int = 1) -> DataFrame:
+    """(key, h, index): the lines (line, size, h, on) under each key where an indexed one meets a different one.
+
+    `sample` holds lines of the same kind in which frequent keys are looked for; `on` is what the lines share already.
+    """
+
+    def keyed(some: DataFrame) -> DataFrame:
+        rows = keys(some, edits)
+        return rows.withColumn("key", F.xxhash64("on", "key")).withColumn("index", F.col("index") & F.col("indexed")) if level > 1 else rows
+
+    rows, hot = keyed(lines), None
+    if level < LEVELS:
+        hot = cut(frequent(keyed(sample)))
+        if hot.isEmpty():
+            hot = None
+    plain = rows if hot is None else rows.join(F.broadcast(hot), "key", "left_anti")
+    dealt = plain.select("key", "h", "index").repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("index").alias("any")).where("a <> b and any").select("key")
+    # the filter, which is always true, keeps the exchange as it is, so that the join reads the one of the aggregation again
+    out = dealt.where(F.spark_partition_id() >= 0).join(shared.hint("shuffle_hash"), "key", "left_semi")
+    if hot is None:
+        return out
+    without = lambda some: keyed(some).join(F.broadcast(hot), "key").select("h", F.col("rest").alias("line"), F.char_length("rest").alias("size"), F.col("key").alias("on"), F.col("index").alias("indexed"))
+    return out.unionByName(met(without(lines), without(sample), edits, level + 1))
+
+
+def near_lines(lines: DataFrame, sample: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(h, h2) of the lines with an earlier different line within `edits` edits. `lines`: id, i, line, h, h2, each line once for a document."""
+    own = lambda some: some.select("line", F.char_length("line").alias("size"), "h")
+    found = cut(met(own(lines), own(sample), edits))
+    wanted = cut(found.select("h").distinct())
+    counts = [(F.char_length("line") - F.char_length(F.translate("line", x, ""))).alias(f"c{k}") for k, x in enumerate(LETTERS)]
+    texts = beside(lines, wanted, ["h"], "left_semi").groupBy("h", "h2").agg(F.min(F.struct("id", "i", "h", "h2")).alias("at"), F.first("line").alias("line"))
+    texts = cut(texts.select("h", "h2", "at", "line", F.char_length("line").alias("size"), *counts))
+    rows = found.join(texts.select("h", "at", "size", *[f"c{k}" for k in range(len(LETTERS))]), "h")
+    a, b = rows.alias("a"), rows.alias("b")
     apart = F.lit(0)
     for k in range(len(LETTERS)):
         apart = apart + F.abs(F.col(f"a.c{k}") - F.col(f"b.c{k}"))
-    other = other & (apart <= 2 * edits)
-    gap = F.size("a.chars") - F.size("b.chars")
-    late_probe = a.join(b.where("b.index"), other & gap.between(0, edits) & within(F.col("b.chars"), F.col("a.chars"), edits), "left_semi")
-    late_index = a.where("a.index").join(b, other & (-gap).between(0, edits) & within(F.col("a.chars"), F.col("b.chars"), edits), "left_semi")
+    # one of the two stands under the key as indexed, the longer one (or an equally long one) as probing
+    gap = F.col("a.size") - F.col("b.size")
+    alike = (F.col("a.key") == F.col("b.key")) & (F.col("a.at") != F.col("b.at")) & (apart <= 2 * edits)
+    probe = a.join(b.where("b.index"), alike & gap.between(0, edits), "left_semi")
+    index = a.where("a.index").join(b, alike & (-gap).between(0, edits), "left_semi")
+    left = cut(probe.unionByName(index).select("key", "index", "at").distinct())
+    full = cut(left.join(texts.select("at", "h", "h2", "size", "line"), "at"))
+    a, b = full.alias("a"), full.alias("b")
+    # b is the earlier line
+    other = (F.col("a.key") == F.col("b.key")) & (F.col("b.at") < F.col("a.at"))
+    gap = F.col("a.size") - F.col("b.size")
+    late_probe = a.join(b.where("b.index"), other & gap.between(0, edits) & near(F.col("b.line"), F.col("a.line"), edits), "left_semi")
+    late_index = a.where("a.index").join(b, other & (-gap).between(0, edits) & near(F.col("a.line"), F.col("b.line"), edits), "left_semi")
     return late_probe.select("h", "h2").unionByName(late_index.select("h", "h2")).distinct()
 
 
 def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, gone, n_same, n_near): places of the dropped ones among a text's tagged lines, for the texts that lose any to another line."""
     checkpoint_dir(docs.sparkSession)
-    lines = long_lines(docs, id_col, text_col, min_chars)
-    repeated = lines.groupBy("h", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1").select("h", "h2", "owner", F.lit(False).alias("near"))
-    near = near_lines(lines, edits).select("h", "h2", F.lit(None).cast("long").alias("owner"), F.lit(True).alias("near"))
-    marks = cut(repeated.unionByName(near).groupBy("h", "h2").agg(F.max("owner").alias("owner"), F.max("near").alias("near")))
+    lines = lines_of(docs, id_col, text_col)
+    repeated = cut(lines.groupBy("h", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
+    n_docs = docs.count()
+    every = max(1, n_docs // SAMPLE)
+    heavy = repeated.where(F.col("n") >= F.lit(max(2.0, HEAVY * n_docs))).select("h", "h2", F.col("owner").alias("_first"))
+    once = lines.where(F.char_length("line") >= min_chars).join(F.broadcast(heavy), ["h", "h2"], "left").where(F.col("_first").isNull() | F.col("id").eqNullSafe(F.col("_first"))).drop("_first")
+    few = F.pmod(F.xxhash64(F.lit(7), F.col(id_col), F.xxhash64(text_col)), F.lit(every)) == 0
+    sample = lines_of(docs.where(few), id_col, text_col).where(F.char_length("line") >= min_chars).dropDuplicates(["h", "h2"])
+    near = near_lines(once, sample, edits).select("h", "h2", F.lit(None).cast(repeated.schema["owner"].dataType).alias("owner"), F.lit(True).alias("near"))
+    same_lines = repeated.select("h", "h2", "owner", F.lit(False).alias("near"))
+    marks = cut(same_lines.unionByName(near).groupBy("h", "h2").agg(F.max("owner").alias("owner"), F.max("near").alias("near")))
     salts = 8
     n = marks.count()
     if n > 250_000:  # beyond that, a line with a third of all rows is joined in `salts` places
         marks = marks.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    rows = lines.select("id", "t", "i", "h", "h2", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    rows = lines.select("id", "t", "i", "h", "h2", F.pmod(F.xxhash64("id", "t"), F.lit(salts)).cast("int").alias("salt"))
     found = beside(rows, marks, ["h", "h2"] + ["salt"] * (n > 250_000), "inner", n)
     same = F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner"))
     found = found.select("id", "t", "i", F.col("near"), same.alias("same")).where("near or same")
@@ -144,27 +229,31 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_c
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, all columns, with `_lines` (array of kept lines), `_n_lines`, `_n_same` and `_n_near` added."""
-    gone = decide(docs, edits, min_chars, id_col, text_col).withColumnsRenamed({"id": "_id", "t": "_t"})
-    both = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"]), "left")
+    """(row, lines, n_lines, n_same, n_near): a row of `docs` as a struct, its kept lines, and numbers."""
+    gone = decide(docs, edits, min_chars, id_col, text_col)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
+    both = rows.join(gone, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("t")), "left")
 
     def kept(all_lines: Column) -> Column:
         places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.coalesce("gone", F.array().cast("array<int>")))
         return F.transform(places, lambda i: untagged(F.get(all_lines, i)))
 
-    return both.select(*[docs[c] for c in docs.columns], let(tagged(docs[text_col], min_chars), kept).alias("_lines"), F.size(F.split(docs[text_col], "\n")).alias("_n_lines"), F.coalesce("n_same", F.lit(0)).alias("_n_same"), F.coalesce("n_near", F.lit(0)).alias("_n_near"))
+    return both.select("row", let(tagged(text), kept).alias("lines"), F.size(F.split(text, "\n")).alias("n_lines"), F.coalesce("n_same", F.lit(0)).alias("n_same"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_kept, n_same, n_near, kept_sha256) for every row; n_same and n_near count distinct lines that an earlier document's line displaced."""
     done = deduplicate(docs.select(id_col, text_col), edits, min_chars, id_col, text_col)
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_n_lines")).cast("long")
-    return done.select(id_col, n.alias("n_lines"), F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_kept"), F.col("_n_same").alias("n_same"), F.col("_n_near").alias("n_near"), F.sha2(F.coalesce(F.array_join("_lines", "\n"), F.lit("")), 256).alias("kept_sha256"))
+    empty = F.col("row")[text_col].isNull()
+    n = lambda x: F.when(empty, 0).otherwise(x).cast("long")
+    return done.select(F.col("row")[id_col].alias(id_col), n(F.col("n_lines")).alias("n_lines"), n(F.size("lines")).alias("n_kept"), "n_same", "n_near", F.sha2(F.coalesce(F.array_join("lines", "\n"), F.lit("")), 256).alias("kept_sha256"))
 
 
 def rewrite(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """`docs` with the kept lines as text. A document that loses every line, all of which stand elsewhere, goes; one without any text stays as it is."""
-    done = deduplicate(docs, edits, min_chars, id_col, text_col).where(F.col(text_col).isNull() | (F.size("_lines") > 0))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join("_lines", "\n"))
+    old = F.col("row")[text_col]
+    done = deduplicate(docs, edits, min_chars, id_col, text_col).where(old.isNull() | (F.size("lines") > 0))
+    text = F.when(old.isNotNull(), F.array_join("lines", "\n"))
     new = {text_col: text} | ({size_col: F.char_length(text).cast(docs.schema[size_col].dataType)} if size_col and size_col in docs.columns else {})
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

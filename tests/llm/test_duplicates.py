@@ -46,35 +46,39 @@ def test_banded_distance(spark):
         if 0 <= len(b) - len(a) <= 2:
             pairs.append((a, b))
     chars = lambda c: F.transform(F.split(c, ""), lambda x: F.ascii(x))
-    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within(chars("a"), chars("b")).alias("near")).collect()
-    assert all(r.near == (edits(r.a, r.b) <= 2) for r in got) and any(r.near for r in got) and not all(r.near for r in got)
+    both = [linededup.within(chars("a"), chars("b")).alias("near"), linededup.near(F.col("a"), F.col("b")).alias("trimmed")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", *both).collect()
+    assert all(r.near == r.trimmed == (edits(r.a, r.b) <= 2) for r in got) and any(r.near for r in got) and not all(r.near for r in got)
 
 
 def brute_lines(docs, most=2, least=20):
     first = {}
     kept = {}
     for i, t in docs:
-        seen = list(dict.fromkeys(x if len(x) >= least else f"{k}\n{x}" for k, x in enumerate(t.split("\n"))))
+        seen = list(dict.fromkeys(x if re.search(r"[^\W_]", x) else f"{k}\n{x}" for k, x in enumerate(t.split("\n"))))
         for k, x in enumerate(seen):
             if "\n" not in x:
                 first[x] = min(first.get(x, (1 << 60, 0)), (i, k))
-    near = {x for x in first if any(y != x and abs(len(x) - len(y)) <= most and first[y] < first[x] and edits(x, y) <= most for y in first)}
+    near = {x for x in first if len(x) >= least and any(y != x and len(y) >= least and abs(len(x) - len(y)) <= most and first[y] < first[x] and edits(x, y) <= most for y in first)}
     for i, t in docs:
         out, seen = [], set()
         for x in t.split("\n"):
-            if len(x) < least or (x not in seen and x not in near and first[x][0] == i):
+            if x not in first or (x not in seen and x not in near and first[x][0] == i):
                 out.append(x)
             seen.add(x)
         kept[i] = out
     return kept
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize(("often", "head"), [(linededup.OFTEN, ""), (2, ""), (4, "a beginning of many lines, ")])
+def test_line_dedup(spark, often, head, monkeypatch):
+    """Equal to brute force, also where nearly all keys, or those of a common beginning, count as hot."""
+    monkeypatch.setattr(linededup, "OFTEN", often)
     rng = random.Random(4)
-    base = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(15, 40))) for _ in range(25)]
+    base = [head + "".join(rng.choice("abcdeé ") for _ in range(rng.randint(12, 40))) for _ in range(25)]
     docs = [(i, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randint(1, 5)))) for i in range(90)]
     want = brute_lines(docs)
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'clash' as line", "0L as n_chars", "'z' as id")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'clash' as line", "0L as n_chars", "'z' as id", "1 as gone", "2 as n_same", "3 as n_near", "4 as row", "5 as lines", "6 as t")
     got = {r.doc_id: r for r in linededup.report(frame).collect()}
     assert {i: r.kept_sha256 for i, r in got.items()} == {i: hashlib.sha256("\n".join(x).encode()).hexdigest() for i, x in want.items()}
     assert all(got[i].n_kept == len(x) for i, x in want.items()) and sum(r.n_near for r in got.values()) > 0
@@ -88,12 +92,22 @@ def test_line_dedup_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, long), (4, long + "\n" + long + "!"), (5, "short\nshort"), (3, long), (None, long), (6, "\n".join(f"line number {i} of a very long text {i * i}" for i in range(3000)))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.n_lines, r.n_kept) for r in linededup.report(frame).collect()]
-    assert sorted(got, key=str)[:8] and {g for g in got if g[0] != 6} == {(1, 0, 0), (2, 1, 1), (3, 1, 1), (4, 2, 0), (5, 2, 2), (None, 1, 0)}
+    assert sorted(got, key=str)[:8] and {g for g in got if g[0] != 6} == {(1, 0, 0), (2, 1, 1), (3, 1, 1), (4, 2, 0), (5, 2, 1), (None, 1, 0)}
     assert linededup.rewrite(frame).where("doc_id = 1").count() == 1
     none = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.report(none).count() == 0
 
 
+def test_a_beginning_of_all_lines(spark):
+    """20,000 different lines of text ids that begin alike aren't compared with each other; the few near ones are found."""
+    rng = random.Random(6)
+    lines = ["copyright notice: " + "".join(rng.choice("abcdefghij") for _ in range(36)) for _ in range(20_000)]
+    lines[7000:7050] = [x + "!" for x in lines[:50]]
+    rows = [(f"d{k:05}", "\n".join(lines[k * 10 : k * 10 + 10])) for k in range(2000)]
+    got = linededup.report(spark.createDataFrame(rows, "doc_id string, text string")).agg(F.sum("n_lines"), F.sum("n_kept"), F.sum("n_near")).first()
+    assert tuple(got) == (20_000, 19_950, 50)
+
+
 def brute_fingerprint(text, size=3):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -136,8 +150,7 @@ def test_simhash(spark, hot, monkeypatch):
     prints = [brute_fingerprint(t) for t in texts]
     assert [got[i + 10].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
     assert [got[i + 10].component_id - 10 for i in range(len(texts))] == brute_components(prints)
-    kept = simhash.keep_one(docs, 3).select("doc_id").toPandas().doc_id.tolist()
-    assert sorted(kept) == sorted({r.component_id for r in got.values()}) and simhash.keep_one(docs).columns == docs.columns
+
 
 
 def test_vantage_tree_finds_all_links():
@@ -145,14 +158,17 @@ def test_vantage_tree_finds_all_links():
     centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
     values = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 40, (2500, 4)).astype(np.uint64), axis=1) for c in centre]))
     want = {(int(min(a, b)), int(max(a, b))) for i, a in enumerate(values) for b in values[:i][np.bitwise_count(values[:i] ^ a) <= 3]}
-    got = {(int(min(a, b)), int(max(a, b))) for u, v in simhash.links(values, values[:0]) for a, b in zip(u, v, strict=True)}
+    pruned, n = [0, 0], len(values)
+    found = list(simhash.links(values[:, None], np.arange(n), np.arange(0), 3, pruned))
+    got = {(int(min(values[a], values[b])), int(max(values[a], values[b]))) for u, v in found for a, b in zip(u, v, strict=True)}
+    # every pair is either compared in a leaf or ruled out by a boundary, most of them the latter
+    assert sum(len(u) for u, _ in found) == len(want) and sum(pruned) == n * (n - 1) // 2 and pruned[0] > 0.5 * sum(pruned)
     assert got == want and len(want) > 1000
 
 
 def test_repeated_rows_and_empty(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "x")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in simhash.near_duplicates(rows).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
-    assert sorted(r.doc_id or 0 for r in simhash.keep_one(rows).collect()) == [0, 1]
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
