@@ -20,33 +20,45 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from descry.llm.common import checkpoint_dir, cut, small_batches
 from descry.llm.components import components
 
 RADIUS, BLOCKS, SEED = 3, 5, 42
-LEAF, HOT, MANY = 2048, 20_000, 1 << 18
+#: A tree's leaves hold up to LEAF fingerprints; shards above HOT are dealt in Spark first; BLOCK rows are compared at a time.
+LEAF, HOT, MANY, BLOCK = 32, 20_000, 1 << 18, 1024
 WIDTHS = [64 // BLOCKS + (i < 64 % BLOCKS) for i in range(BLOCKS)]
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def hashes(text: str, shingle: int) -> np.ndarray:
+    """The unsigned hashes of a text's word shingles, repeats included; a text of fewer words is one shingle."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(shingle, len(words))
     joined = b" ".join(words)
     end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begin = np.concatenate([[0], end[:-1] + 1])
-    n = len(words) - size + 1
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    n, digest, out = len(words) - size + 1, xxhash.xxh64_intdigest, []
     for k in range(0, n, MANY):
         pairs = zip(begin[k : min(n, k + MANY)].tolist(), end[k + size - 1 : min(n, k + MANY) + size - 1].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+        out.append(np.array([digest(joined[a:b], SEED) for a, b in pairs], np.uint64))
+    return np.concatenate(out)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), MANY):
+        ones += np.unpackbits(h[k : k + MANY].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprint_column(text: str | Column, shingle: int = 3) -> Column:
@@ -60,59 +72,83 @@ def fingerprint_column(text: str | Column, shingle: int = 3) -> Column:
     return fp(text)
 
 
-def links(own: np.ndarray, guests: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within `radius` among `own`, and between `own` and `guests`, by a vantage-point tree."""
-    if len(own) * (len(own) + len(guests)) <= LEAF * LEAF or len(own) < 2:
-        yield from _scan(own, guests, radius)
-        return
-    d, g = np.bitwise_count(own ^ own[0]).astype(np.int16), np.bitwise_count(guests ^ own[0]).astype(np.int16)
-    at = int(np.median(d))
-    if (d > at).sum() == 0:
-        at -= 1
-    near = d <= at
-    if near.all() or not near.any():
-        yield from _scan(own, guests, radius)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, whose words are the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def leaves(fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int, leaf: int = LEAF, pruned: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The leaves of a vantage-point tree: places of `fp` (rows of words) of the members, and of the guests that can be within `radius` of one.
+
+    Of two members in different leaves, one is a guest of the other's leaf unless a boundary tells that they are farther apart.
+    `pruned`, a list of two numbers, is given the comparisons that boundaries ruled out and those that are left.
+    """
+    far = distance(fp[own], fp[own[0]]) if len(own) > leaf else np.zeros(0, np.int16)
+    at = int(np.median(far)) if len(far) else 0
+    near = far <= (at if len(far) and (far > at).any() else at - 1)
+    if len(own) <= leaf or min(near.sum(), (~near).sum()) * 16 < len(own):  # few, or members that a boundary doesn't part
+        if pruned is not None:
+            pruned[1] += len(own) * (len(own) - 1) // 2 + len(own) * len(guests)
+        yield own, guests
         return
-    inner, outer = own[near], own[~near]
-    # a pair across the boundary is found where its inner end lives
-    yield from links(inner, np.concatenate([guests[g <= at + radius], outer[d[~near] <= at + radius]]), radius)
-    yield from links(outer, guests[g > at - radius], radius)
-
-
-def _scan(own: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(0, len(own), LEAF):
-        a = own[i : i + LEAF]
-        for j in range(i, len(own), LEAF):
-            b = own[j : j + LEAF]
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= radius)
-            keep = x < y if i == j else slice(None)
-            yield a[x[keep]], b[y[keep]]
-        for j in range(0, len(guests), LEAF):
-            b = guests[j : j + LEAF]
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= radius)
-            yield a[x], b[y]
+    edge = int(far[near].max())
+    inner, outer, around = own[near], own[~near], distance(fp[guests], fp[own[0]])
+    visits = outer[far[~near] <= edge + radius]
+    in_guests, out_guests = guests[around <= edge + radius], guests[around > edge - radius]
+    if pruned is not None:
+        pruned[0] += len(inner) * (len(outer) - len(visits) + len(guests) - len(in_guests)) + len(outer) * (len(guests) - len(out_guests))
+    yield from leaves(fp, inner, np.concatenate([in_guests, visits]), radius, leaf, pruned)
+    yield from leaves(fp, outer, out_guests, radius, leaf, pruned)
 
 
-def forest(own: np.ndarray, guests: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: at most one edge for each member."""
-    nodes = np.unique(np.concatenate([own, guests]))
-    root = np.arange(len(nodes))
+def links(fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int = RADIUS, pruned: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within `radius` among the members `own`, and between them and `guests`."""
+    for a, b in leaves(fp, own, guests, radius, LEAF, pruned):
+        yield from _scan(fp, a, b, radius)
+
+
+class Union:
+    """Components of places 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
-        return int(i)
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two weren't connected before."""
+        x, y = self.find(i), self.find(j)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _scan(fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(own), BLOCK):
+        a = own[i : i + BLOCK]
+        for j in range(i, len(own), BLOCK):
+            b = own[j : j + BLOCK]
+            x, y = np.nonzero(distance(fp[a][:, None], fp[b][None]) <= radius)
+            keep = x < y if i == j else slice(None)
+            yield a[x[keep]], b[y[keep]]
+        for j in range(0, len(guests), BLOCK):
+            b = guests[j : j + BLOCK]
+            x, y = np.nonzero(distance(fp[a][:, None], fp[b][None]) <= radius)
+            yield a[x], b[y]
 
-    u, v = [], []
-    for a, b in links(own, guests, radius):
-        for i, j in zip(np.searchsorted(nodes, a).tolist(), np.searchsorted(nodes, b).tolist(), strict=True):
-            x, y = find(i), find(j)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                u.append(i)
-                v.append(j)
-    return nodes[u] if u else nodes[:0], nodes[v] if v else nodes[:0]
+
+def forest(own: np.ndarray, guests: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the fingerprints `own` and to `guests`: at most one edge for each of them."""
+    nodes = np.concatenate([own, guests])
+    union, kept = Union(len(nodes)), []
+    for a, b in links(nodes[:, None], np.arange(len(own)), len(own) + np.arange(len(guests)), radius):
+        kept += [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if union.join(i, j)]
+    both = np.array(kept, np.int64).reshape(-1, 2)
+    return nodes[both[:, 0]], nodes[both[:, 1]]
 
 
 def shard_keys(fp: Column) -> Column:
@@ -180,11 +216,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that are the first of their component; of rows that share an id, one stays."""
-    first = near_duplicates(docs, shingle, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
-    kept = docs.join(first, id_col, "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
