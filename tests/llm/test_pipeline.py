@@ -1,6 +1,10 @@
 """Each stage on its own input, and the whole."""
 
+import random
+
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,3 +21,71 @@ def test_stages(spark, tmp_path):
         assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "bpe"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()} == ids
+
+
+CLASHES = ["key", "h", "line", "row", "lines", "owner", "hits", "score", "family", "u", "size", "text2", "_id"]
+
+
+def odd_docs(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, copies and near copies, a benchmark item, columns of all sorts of names."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    item = line(30)
+    base = [line(rng.randint(6, 40)) for _ in range(30)]
+    texts = [None, "", " ", "\n\n", "x", line(9), line(9)]
+    texts += ["\n".join(rng.choice(base) if rng.random() < 0.3 else line(rng.randint(2, 30)) for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    long = line(40_000)
+    texts += [long, long + " " + line(3), item, line(20) + " " + item + " " + line(20), texts[10], texts[11] + " end"]
+    rows = [(i, t, "en" if i % 3 else None, f"s{i % 2}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[12], (13, line(30), "en", None, None), (None, line(12), None, None, None), (None, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", *[f"{k} as `{c}`" for k, c in enumerate(CLASHES)]), item
+
+
+def test_stages_by_plain_versions(spark, tmp_path):
+    from test_duplicates import brute_lines
+    from test_neardup import brute
+
+    from descry.llm import bpe, quality
+
+    docs, item = odd_docs(spark)
+    spark.createDataFrame([(k, item if k == 1 else "zzz yyy xxx www vvv uuu") for k in range(2)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    ids = lambda d: sorted((str(r.doc_id), r.text or "") for r in d.collect())
+
+    # quality: what the same network, one text at a time, scores below the threshold goes
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    net = quality.fit(docs, labels)
+    score = lambda t: net.score(np.array([0, len(t)]), np.frombuffer(t, np.uint8))[0]
+    scores = [(i, t, score((t or "").encode())) for i, t in rows]
+    got = stages["quality"](spark, docs, sf)
+    assert got.columns == docs.columns and ids(got) == sorted((str(i), t or "") for i, t, s in scores if s >= 0.7)
+
+    # lines: rows that share an id are one document, so the fixture for brute force has each id once
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    plain = {r.doc_id: r.text for r in once.collect()}
+    want = brute_lines([(i, t) for i, t in plain.items() if t is not None])
+    got = {r.doc_id: r.text for r in stages["line_dedup"](spark, once, sf).collect()}
+    assert got == {i: "\n".join(x) for i, x in want.items() if x} | {i: None for i, t in plain.items() if t is None}
+    assert stages["line_dedup"](spark, docs, sf).columns == docs.columns
+
+    # near copies
+    got = stages["near_dedup"](spark, once, sf)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(brute(list(plain.items())).values())) and got.columns == docs.columns
+    whole = stages["near_dedup"](spark, docs, sf)
+    assert sorted(str(r.doc_id) for r in whole.collect())[-2:] == ["None", "None"]
+
+    # benchmark
+    got = stages["decontaminate"](spark, docs, sf)
+    assert got.columns == docs.columns and ids(got) == sorted((str(i), t or "") for i, t in rows if item not in (t or ""))
+
+    # tokens
+    whole = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encoding
+    got = sorted((str(r.doc_id), list(r.token_ids)) for r in stages["bpe"](spark, docs, sf).collect())
+    assert got == sorted((str(i), whole.encode_ordinary(t or "")) for i, t in rows)
+
+    none = docs.limit(0)
+    assert all(stage(spark, none, sf).count() == 0 for stage in stages.values())
