@@ -1,10 +1,11 @@
 """Order MinHash fingerprints, with DataFrame functions only.
 
 Tokens are runs of non-space characters, at most TOKEN long; k-mers are K tokens in a row (fewer tokens: the whole
-sequence). The i-th repeat of a k-mer in a text counts as a k-mer of its own. Their hashes are sorted once; each of M
-sketches is the order of the hashes from its own start on (around the end), and takes the L = 2 minimal ones. The two are put
+sequence). The i-th repeat of a k-mer in a text counts as a k-mer of its own. They are hashed with ORDERS seeds and sorted by each;
+each of M sketches is one of these orders from its own start on (around the end), and takes the L = 2 minimal ones. The two are put
 back into text order and hashed as a tuple, of which 16 bits are kept. So a sketch agrees only if both the k-mers and
 their order do, and the share of agreeing sketches follows the edit distance more closely than a set's likeness.
+Sketches of one order from near starts depend on each other where a text has few k-mers; README has the spread that is left.
 
 Nulls count as empty; a text without tokens has the fingerprint of no k-mers. Equal texts have equal fingerprints.
 """
@@ -16,9 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN, K, M = 16, 2, 64
-#: The low bits of a packed long are a k-mer's place in the text, the high ones its hash. Beyond 2**24 k-mers places repeat.
-PLACE = 24
+TOKEN, K, M, ORDERS = 16, 2, 64, 4
+#: The low bits of a packed long are a k-mer's place in the text, the high ones its hash. 2**28 tokens are more than a text of half a GB can have.
+PLACE = 28
+#: Rows of a range of ids.
+RANGE = 50_000
 MASK = (1 << PLACE) - 1
 
 
@@ -58,7 +61,17 @@ def numbered(packed: Column) -> Column:
 
 
 def signature(ranked: Column) -> Column:
-    """The M sketches as hexadecimal digits, four each."""
+    """The M sketches as hexadecimal digits, four each, of the numbered k-mers."""
+
+    def in_order(seed: int) -> Column:
+        again = F.sort_array(F.transform(ranked, lambda x: pack(F.xxhash64(F.lit(seed), F.shiftright(x, PLACE)), x)))
+        return let(again if seed else ranked, sketches)
+
+    return F.when(F.size(ranked) > 0, F.concat(*[in_order(seed) for seed in range(ORDERS)])).otherwise(F.repeat(F.lit("0000"), M))
+
+
+def sketches(ranked: Column) -> Column:
+    """The M / ORDERS sketches of one order."""
     n = F.size(ranked)
     steps = F.sequence(F.ceil(F.log2(n + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
 
@@ -73,7 +86,8 @@ def signature(ranked: Column) -> Column:
 
         return F.lpad(F.lower(F.hex(let(pair, tuple_of).bitwiseAND(F.lit(0xFFFF)))), 4, "0")
 
-    return F.when(n > 0, F.array_join(F.transform(F.array(*[F.lit(s * ((1 << 64) // M) - (1 << 63)).cast("long") for s in range(M)]), sketch), "")).otherwise(F.repeat(F.lit("0000"), M))
+    starts = [s * ((1 << 64) // (M // ORDERS)) - (1 << 63) for s in range(M // ORDERS)]
+    return F.array_join(F.transform(F.array(*[F.lit(s).cast("long") for s in starts]), sketch), "")
 
 
 def fingerprint(text: Column) -> Column:
@@ -90,17 +104,19 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str, make: Callable[[Column], Column]) -> DataFrame:
     """(id, text, made, next_text, next_made): each row beside the next one by descending id, the last beside the first.
 
-    Ids are dealt over ranges between quantiles, several for each shuffle partition; the texts are shuffled once, by range. The
-    first row of the next range comes from a table with a row for each range. Rows with equal ids follow each other by their texts;
+    Ids are dealt over ranges between quantiles, several for each shuffle partition and one for RANGE rows at least; the texts are shuffled
+    once, by range. The first row of the next range comes from a table with a row for each range. Rows with equal ids follow each other by their texts;
     null ids come last.
     """
     spark = docs.sparkSession
-    ranges = max(2, min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // RANGE)
     ids = docs.select(F.col(id_col).cast("long").alias("_id"))
     bounds = ids.agg(F.percentile_approx("_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
     bounds = sorted(set(bounds))
-    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    zone = F.coalesce(-F.size(F.filter(edges, lambda b: b <= F.col("_id"))), F.lit(1)).alias("_zone")  # ascending zones hold descending ids
+    edges, many = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), len(bounds)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(many.bit_length()))]).cast("array<int>")
+    found = lambda acc, step: F.when((acc + step <= many) & (F.get(edges, F.least(acc + step, F.lit(max(many, 1))) - 1) <= F.col("_id")), acc + step).otherwise(acc)
+    zone = (-F.aggregate(steps, F.lit(0), found)).alias("_zone")  # how many bounds the id reaches, by halves; ascending zones hold descending ids
     base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select("_id", "_text", F.when(F.col("_id").isNull(), 1).otherwise(zone).alias("_zone"))
     order = [F.col("_id").desc_nulls_last(), F.xxhash64("_text"), F.col("_text")]
     tops = base.select("_zone", "_id").groupBy("_zone").agg(F.max("_id").alias("_id")).collect()

@@ -199,6 +199,60 @@ def test_order_minhash(spark):
     assert orderminhash.compare(docs.limit(0)).count() == 0
 
 
+def plain_fingerprint(text):
+    """The fingerprint step by step; the hashes of several values chain their seeds."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    place = orderminhash.PLACE
+
+    def h(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else (v & (1 << (64 if w8(v) else 32)) - 1).to_bytes(8 if w8(v) else 4, "little"), seed)
+        return signed(seed)
+
+    w8 = lambda v: not isinstance(v, Small)
+    words = [x for w in text.split() for x in [w[i : i + orderminhash.TOKEN] for i in range(0, len(w), orderminhash.TOKEN)]]
+    t = [h(w.encode()) for w in words]
+    if not t:
+        return "0000" * orderminhash.M
+    grams = [tuple(t[i : i + orderminhash.K]) for i in range(len(t) - orderminhash.K + 1)] or [None]
+    pairs = sorted((h(*g) >> place, i) for i, g in enumerate(grams)) if grams != [None] else [(array_hash(t) >> place, 0)]
+    seen, numbered = {}, []
+    for x, i in pairs:
+        numbered.append((h(x, Small(seen.get(x, 0))) >> place, i))
+        seen[x] = seen.get(x, 0) + 1
+    out = ""
+    for seed in range(orderminhash.ORDERS):
+        ranked = sorted((h(Small(seed), x) >> place, i) for x, i in numbered) if seed else sorted(numbered)
+        each = orderminhash.M // orderminhash.ORDERS
+        for s in range(each):
+            start = s * ((1 << 64) // each) - (1 << 63)
+            at = sum((x << place | i) < start for x, i in ranked)
+            a, b = ranked[at % len(ranked)], ranked[(at + 1) % len(ranked)]
+            first, second = (a, b) if a[1] <= b[1] else (b, a)
+            out += f"{h(first[0], second[0]) & 0xFFFF:04x}"
+    return out
+
+
+class Small(int):
+    """An int of four bytes."""
+
+
+def array_hash(values):
+    """An array's hash chains those of its elements."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_fingerprints_step_by_step(spark):
+    rng = random.Random(2)
+    texts = ["", "x", "one two", "a a a a a a", "w" * 50] + [" ".join(rng.choice(["ab", "cd", "the", "é日"]) + str(rng.randrange(9)) for _ in range(rng.randint(1, 80))) for _ in range(30)]
+    got = [r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select(orderminhash.fingerprint(F.col("t")).alias("f")).collect()]
+    assert got == [plain_fingerprint(t) for t in texts]
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(200)]
     swapped = words[100:] + words[:100]
