@@ -172,6 +172,14 @@ def test_repeated_rows_and_empty(spark):
     assert simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_long_texts_go_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 97} x{i}" for i in range(30_000))
+    whole = simhash.fingerprint(text)
+    assert whole == brute_fingerprint(text)
+    monkeypatch.setattr(simhash, "MANY", 1000)
+    assert simhash.fingerprint(text) == whole
+
+
 def test_components_of_a_chain(spark):
     chain = spark.range(40).selectExpr("id as u", "id + 1 as v").unionByName(spark.range(100, 103).selectExpr("id + 1 as u", "id as v"))
     got = {r.node: r.root for r in components.components(chain).collect()}

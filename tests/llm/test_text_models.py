@@ -66,6 +66,35 @@ def test_odd_rows(spark, odd, model):
         assert set(got[got.doc_id.isin([3, 5])].lang_pred) <= {"en", "und"}
 
 
+def plain_score(net, text):
+    """The network byte by byte: windows, half chunks, overlapping chunks, mean and maximum, one logistic unit."""
+    halves = -(-(len(text) + quality.WIDTH) // quality.HALF)
+    data = text + bytes(halves * quality.HALF - len(text))
+    out = []
+    for j in range(net.filters.shape[1]):
+        tops = []
+        for i in range(halves):
+            values = []
+            for p in range(quality.POSITIONS):
+                at = i * quality.HALF + p * quality.STRIDE
+                if at + quality.WIDTH <= len(data):  # a window stays in its text
+                    values.append(sum(float(net.embed[data[at + k]] @ net.filters[k * quality.DIM : (k + 1) * quality.DIM, j]) for k in range(quality.WIDTH)))
+            tops.append(max(0.0, max(values) + net.bias[j]))
+        out.append([max(tops[i : i + 2]) for i in range(halves)])
+    both = [sum(c) / halves for c in out] + [max(c) for c in out]
+    return 1 / (1 + np.exp(-(np.array(both) @ net.head[:-1] + net.head[-1])))
+
+
+def test_network_byte_by_byte(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = quality.Net(rng.normal(size=(256, quality.DIM)).astype(np.float32), rng.normal(size=(quality.WIDTH * quality.DIM, 3)).astype(np.float32) / 9, rng.normal(size=3).astype(np.float32), rng.normal(size=7).astype(np.float32))
+    net.embed[0] = 0
+    texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (0, 1, 15, 240, 241, 256, 700, 1300)]
+    monkeypatch.setattr(quality, "BLOCK", 512)  # long texts go in pieces
+    got = net.score(np.concatenate([[0], np.cumsum([len(t) for t in texts])]), np.frombuffer(b"".join(texts), np.uint8))
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+
+
 def test_languages_of_short_or_long_texts_only(spark):
     """30 bytes a text, or 40,000: each language is learned and told apart."""
     import random
