@@ -21,6 +21,32 @@ def quantiles(x: Column, qs: list[float], error: float = 0.0) -> Column:
     return F.percentile(x, qs) if not error else F.percentile_approx(x, qs, max(1, math.ceil(1 / error)))
 
 
+#: Different values that an exact quantile may keep in one task.
+MOST_VALUES = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, column: str, qs: list[float]) -> list[float | None]:
+    """Linearly interpolated quantiles by running counts over ranges of values; no task sees all values."""
+    v = values(df.select(number(df, column).alias("x")), "x")
+    total = v.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(qs)
+    at = [(total - 1) * q for q in qs]
+    upto = running(v, "value", "n", "_upto")
+    place = lambda k: F.min(F.when(F.col("_upto") > k, F.col("value")))
+    got = upto.agg(*[place(f(p)).alias(f"{i} {f.__name__}") for i, p in enumerate(at) for f in (math.floor, math.ceil)]).first()
+    between = lambda p, low, high: low if p == math.floor(p) else (math.ceil(p) - p) * low + (p - math.floor(p)) * high
+    return [between(p, got[f"{i} floor"], got[f"{i} ceil"]) for i, p in enumerate(at)]
+
+
+def quantile_column(df: DataFrame, column: str, x: Column, qs: list[float], error: float, most: int | None = None) -> Column:
+    """quantiles() as an aggregate of `x`; exact ones of a column of many values are found beforehand, and stand there as literals."""
+    many = not error and (df.agg(F.approx_count_distinct(number(df, column))).first()[0] or 0) > (MOST_VALUES if most is None else most)
+    if not many:
+        return quantiles(x, qs, error)
+    return F.array(*[F.lit(q).cast("double") for q in exact_quantiles(df, column, qs)])
+
+
 def moments(x: Column) -> dict[str, Column]:
     """Sample standard deviation, skewness and excess kurtosis, adjusted for the sample size as data frames in Python usually are."""
     n = F.count(x).cast("double")
@@ -36,10 +62,10 @@ def moments(x: Column) -> dict[str, Column]:
 QUANTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p1": 0.01, "p5": 0.05, "p95": 0.95, "p99": 0.99}
 
 
-def summary_parts(x: Column, error: float) -> dict[str, Column]:
+def summary_parts(x: Column, q: Column) -> dict[str, Column]:
     """The aggregates of a summary; `q` holds the QUANTILES."""
     return {
-        "n": F.count("*"), "n_valid": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "q": quantiles(x, list(QUANTILES.values()), error),
+        "n": F.count("*"), "n_valid": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "q": q,
         "zeros": share(F.count_if(x == 0), F.count(x)), "negatives": share(F.count_if(x < 0), F.count(x)),
     } | moments(x)
 
@@ -47,9 +73,11 @@ def summary_parts(x: Column, error: float) -> dict[str, Column]:
 def summary(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
     """One row of everything that one pass gives: counts, five numbers, mean, moments, tails, shares of zeros and negatives, quantile_error.
 
-    Exact quantiles (no error) keep every different value in one task; give an error where those may be many.
+    Exact quantiles (no error) of a column with more than MOST_VALUES different values come from running counts.
     """
-    got = df.select(number(df, column).alias("x")).agg(*[c.alias(k) for k, c in summary_parts(F.col("x"), error).items()])
+    x = F.col("x")
+    q = quantile_column(df, column, x, list(QUANTILES.values()), error)
+    got = df.select(number(df, column).alias("x")).agg(*[c.alias(k) for k, c in summary_parts(x, q).items()])
     got = got.select("n", "n_valid", (F.col("n") - F.col("n_valid")).alias("n_missing"), "min", "max", "mean", *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)], "sd", "skewness", "kurtosis", "zeros", "negatives")
     return got.select("*", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"), F.lit(float(error)).alias("quantile_error"))
 
@@ -58,7 +86,7 @@ def summaries(df: DataFrame, columns: list[str], error: float = 0.0) -> dict[str
     """The summary of each column, with outlier counts and whiskers: two scans, however many columns."""
     if not columns:
         return {}
-    parts = {c: summary_parts(number(df, c), error) for c in columns}
+    parts = {c: summary_parts(number(df, c), quantile_column(df, c, number(df, c), list(QUANTILES.values()), error)) for c in columns}
     first = df.agg(*[x.alias(f"{i} {k}") for i, c in enumerate(columns) for k, x in parts[c].items()]).first()
     out = {}
     for i, c in enumerate(columns):
@@ -88,7 +116,7 @@ def five_numbers(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
 def outliers(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
     """One row: fences at 1.5 IQR beyond the quartiles, values outside and their share, whiskers at the outermost values inside."""
     src = df.select(number(df, column).alias("x")).where("x is not null")
-    q = src.agg(quantiles(F.col("x"), [0.25, 0.75], error).alias("q")).select((F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low_fence"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high_fence"))
+    q = src.agg(quantile_column(df, column, F.col("x"), [0.25, 0.75], error).alias("q")).select((F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low_fence"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high_fence"))
     inside = F.col("x").between(F.col("low_fence"), F.col("high_fence"))
     got = src.crossJoin(F.broadcast(q)).groupBy("low_fence", "high_fence").agg(F.count_if(~inside).alias("outliers"), share(F.count_if(~inside), F.count("*")).alias("share"), F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"))
     return got

@@ -188,3 +188,13 @@ def test_numeric_properties(spark, values):
 def test_unknown_column(spark):
     with pytest.raises(ValueError):
         numeric.summary(spark.range(3), "nope")
+
+
+def test_exact_quantiles_by_ranges(spark, monkeypatch):
+    d = spark.range(5000).select(F.when(F.col("id") % 9 == 0, None).otherwise((F.col("id") * 7919 % 5003) / 3.0).alias("x"))
+    one, out = numeric.summary(d, "x").first(), numeric.outliers(d, "x").first()
+    monkeypatch.setattr(numeric, "MOST_VALUES", 10)
+    again = numeric.summary(d, "x").first()
+    assert all(again[k] == pytest.approx(one[k]) for k in one.asDict()) and numeric.outliers(d, "x").first() == out
+    assert numeric.summaries(d, ["x"])["x"]["median"] == pytest.approx(one.median)
+    assert numeric.exact_quantiles(d.where("x is null"), "x", [0.5]) == [None]
