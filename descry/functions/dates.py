@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from descry.functions.strings import strip
 
 #: Tried in this order; where day and month could be swapped, the day comes first.
-FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "M/d/yyyy H:mm", "MMMM d, yyyy", "d-MMM-yy", "yyyy/MM/dd"]
+FORMATS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "M/d/yyyy H:mm",
+    "MMMM d, yyyy", "d-MMM-yy", "yyyy/MM/dd",
+]
 UNITS = ["year", "quarter", "month", "week", "day", "hour", "minute", "second"]
 
 

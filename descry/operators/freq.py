@@ -33,7 +33,10 @@ def binary_table(df: DataFrame, column: str) -> DataFrame:
     missing = df.agg(F.count_if(level(df, column).isNull()).alias("n")).select(F.lit(MISSING).alias("level"), "n")
     rows = seen.unionByName(missing)
     valid = F.sum(F.when(F.col("level") != MISSING, F.col("n")).otherwise(0)).over(everything())
-    return rows.select("level", "n", share(F.col("n"), F.sum("n").over(everything())).alias("of_total"), F.when(F.col("level") != MISSING, share(F.col("n"), valid)).alias("of_valid"))
+    return rows.select(
+        "level", "n", share(F.col("n"), F.sum("n").over(everything())).alias("of_total"),
+        F.when(F.col("level") != MISSING, share(F.col("n"), valid)).alias("of_valid"),
+    )
 
 
 def balance(df: DataFrame, column: str) -> DataFrame:
@@ -46,7 +49,11 @@ def table(df: DataFrame, column: str) -> DataFrame:
     """(level, n, share, cumulative, rank) by frequency."""
     by = Window.orderBy(F.desc("n"), "level")
     total = F.sum("n").over(everything())
-    return counts(df, column).select("level", "n", share(F.col("n"), total).alias("share"), share(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), total).alias("cumulative"), F.row_number().over(by).cast("long").alias("rank"))
+    return counts(df, column).select(
+        "level", "n", share(F.col("n"), total).alias("share"),
+        share(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), total).alias("cumulative"),
+        F.row_number().over(by).cast("long").alias("rank"),
+    )
 
 
 def by_frequency(df: DataFrame, column: str) -> DataFrame:
@@ -69,9 +76,14 @@ def top(df: DataFrame, column: str, top_n: int = 10) -> DataFrame:
     c = counts(df, column)
     head = c.orderBy(F.desc("n"), "level").limit(top_n)
     total = c.agg(F.sum("n").alias("all_n"), F.count("*").alias("all_k"))
-    ranked = head.select(F.row_number().over(Window.orderBy(F.desc("n"), "level")).cast("long").alias("position"), "level", "n", F.lit(1).cast("long").alias("levels"))
+    ranked = head.select(
+        F.row_number().over(Window.orderBy(F.desc("n"), "level")).cast("long").alias("position"), "level", "n", F.lit(1).cast("long").alias("levels"),
+    )
     rest = ranked.agg(F.sum("n").alias("head_n"), F.count("*").alias("head_k")).crossJoin(F.broadcast(total))
-    others = rest.where("all_k > head_k").select((F.col("head_k") + 1).alias("position"), F.lit("Others").alias("level"), (F.col("all_n") - F.col("head_n")).alias("n"), (F.col("all_k") - F.col("head_k")).alias("levels"))
+    others = rest.where("all_k > head_k").select(
+        (F.col("head_k") + 1).alias("position"), F.lit("Others").alias("level"), (F.col("all_n") - F.col("head_n")).alias("n"),
+        (F.col("all_k") - F.col("head_k")).alias("levels"),
+    )
     return ranked.unionByName(others).withColumn("share", share(F.col("n"), F.sum("n").over(everything())))
 
 
@@ -82,7 +94,10 @@ def concentration(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 8
     """
     by_n = by_frequency(df, column)
     below = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    cum = by_n.select("n", "levels", F.coalesce(F.sum(F.col("n") * F.col("levels")).over(below), F.lit(0)).alias("before"), F.sum(F.col("n") * F.col("levels")).over(everything()).alias("total"), F.sum("levels").over(everything()).alias("k"))
+    cum = by_n.select(
+        "n", "levels", F.coalesce(F.sum(F.col("n") * F.col("levels")).over(below), F.lit(0)).alias("before"),
+        F.sum(F.col("n") * F.col("levels")).over(everything()).alias("total"), F.sum("levels").over(everything()).alias("k"),
+    )
     out = None
     for p in percents:
         inside = F.greatest(F.lit(0), F.least(F.col("levels"), F.floor((F.lit(p) * F.col("total") - 100 * F.col("before")) / (100 * F.col("n")))))
@@ -93,7 +108,9 @@ def concentration(df: DataFrame, column: str, percents: tuple[int, ...] = (50, 8
 
 def singletons(df: DataFrame, column: str) -> DataFrame:
     """One row: levels seen once, and their share of all levels."""
-    return counts(df, column).agg(F.count_if(F.col("n") == 1).alias("singletons"), F.count("*").alias("k"), share(F.count_if(F.col("n") == 1), F.count("*")).alias("share"))
+    return counts(df, column).agg(
+        F.count_if(F.col("n") == 1).alias("singletons"), F.count("*").alias("k"), share(F.count_if(F.col("n") == 1), F.count("*")).alias("share"),
+    )
 
 
 def variants(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
@@ -118,7 +135,10 @@ def identifier(df: DataFrame, column: str) -> DataFrame:
     """One row: n, n_valid, k, collisions (valid rows beyond one for each value), values that repeat."""
     c = counts(df, column)
     seen = c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_valid"), F.count("*").alias("k"), F.count_if(F.col("n") > 1).alias("repeated_values"))
-    return df.agg(F.count("*").alias("n")).crossJoin(seen).select("n", "n_valid", "k", (F.col("n_valid") - F.col("k")).alias("collisions"), "repeated_values", (F.col("n_valid") == F.col("k")).alias("is_unique"))
+    return df.agg(F.count("*").alias("n")).crossJoin(seen).select(
+        "n", "n_valid", "k", (F.col("n_valid") - F.col("k")).alias("collisions"), "repeated_values",
+        (F.col("n_valid") == F.col("k")).alias("is_unique"),
+    )
 
 
 def most_common(df: DataFrame, column: str, where: str | None = None) -> DataFrame:

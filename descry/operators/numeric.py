@@ -78,8 +78,14 @@ def summary(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
     x = F.col("x")
     q = quantile_column(df, column, x, list(QUANTILES.values()), error)
     got = df.select(number(df, column).alias("x")).agg(*[c.alias(k) for k, c in summary_parts(x, q).items()])
-    got = got.select("n", "n_valid", (F.col("n") - F.col("n_valid")).alias("n_missing"), "min", "max", "mean", *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)], "sd", "skewness", "kurtosis", "zeros", "negatives")
-    return got.select("*", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"), F.lit(float(error)).alias("quantile_error"))
+    got = got.select(
+        "n", "n_valid", (F.col("n") - F.col("n_valid")).alias("n_missing"), "min", "max", "mean",
+        *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)], "sd", "skewness", "kurtosis", "zeros", "negatives",
+    )
+    return got.select(
+        "*", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))).alias("cv"),
+        F.lit(float(error)).alias("quantile_error"),
+    )
 
 
 def summaries(df: DataFrame, columns: list[str], error: float = 0.0) -> dict[str, dict]:
@@ -105,7 +111,10 @@ def summaries(df: DataFrame, columns: list[str], error: float = 0.0) -> dict[str
             cols += [F.count_if(~inside).alias(f"{i} n"), F.min(F.when(inside, x)).alias(f"{i} low"), F.max(F.when(inside, x)).alias(f"{i} high")]
         second = df.agg(*cols).first()
         for i, c in known:
-            out[c] |= {"outliers": second[f"{i} n"], "outlier_share": second[f"{i} n"] / out[c]["n_valid"], "low_whisker": second[f"{i} low"], "high_whisker": second[f"{i} high"]}
+            out[c] |= {
+                "outliers": second[f"{i} n"], "outlier_share": second[f"{i} n"] / out[c]["n_valid"], "low_whisker": second[f"{i} low"],
+                "high_whisker": second[f"{i} high"],
+            }
     return out
 
 
@@ -116,9 +125,15 @@ def five_numbers(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
 def outliers(df: DataFrame, column: str, error: float = 0.0) -> DataFrame:
     """One row: fences at 1.5 IQR beyond the quartiles, values outside and their share, whiskers at the outermost values inside."""
     src = df.select(number(df, column).alias("x")).where("x is not null")
-    q = src.agg(quantile_column(df, column, F.col("x"), [0.25, 0.75], error).alias("q")).select((F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low_fence"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high_fence"))
+    q = src.agg(quantile_column(df, column, F.col("x"), [0.25, 0.75], error).alias("q")).select(
+        (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("low_fence"),
+        (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("high_fence"),
+    )
     inside = F.col("x").between(F.col("low_fence"), F.col("high_fence"))
-    got = src.crossJoin(F.broadcast(q)).groupBy("low_fence", "high_fence").agg(F.count_if(~inside).alias("outliers"), share(F.count_if(~inside), F.count("*")).alias("share"), F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"))
+    got = src.crossJoin(F.broadcast(q)).groupBy("low_fence", "high_fence").agg(
+        F.count_if(~inside).alias("outliers"), share(F.count_if(~inside), F.count("*")).alias("share"),
+        F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"),
+    )
     return got
 
 
@@ -133,7 +148,10 @@ def value_extremes(df: DataFrame, column: str, levels: int = 5) -> DataFrame:
     v = values(df, column)
     out = None
     for end, order in (("smallest", F.asc("value")), ("largest", F.desc("value"))):
-        part = v.orderBy(order).limit(levels).select(F.lit(end).alias("end"), F.row_number().over(Window.orderBy(order)).cast("long").alias("position"), F.col("value").cast("double").alias("value"), "n")
+        part = v.orderBy(order).limit(levels).select(
+            F.lit(end).alias("end"), F.row_number().over(Window.orderBy(order)).cast("long").alias("position"),
+            F.col("value").cast("double").alias("value"), "n",
+        )
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -144,7 +162,9 @@ def frequency_extremes(df: DataFrame, column: str, levels: int = 5, middle: bool
     ends = [("most", [F.desc("n"), F.asc("value")]), ("least", [F.asc("n"), F.desc(F.abs("value")), F.desc("value")])]
     out = None
     for end, order in ends:
-        part = v.orderBy(*order).limit(levels).select(F.lit(end).alias("end"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), "value", "n")
+        part = v.orderBy(*order).limit(levels).select(
+            F.lit(end).alias("end"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"), "value", "n",
+        )
         out = part if out is None else out.unionByName(part)
     if middle:
         ranked = v.select("value", "n", F.row_number().over(Window.orderBy(*ends[0][1])).cast("long").alias("r"), F.count("*").over(everything()).alias("k"))
@@ -161,7 +181,10 @@ def table(df: DataFrame, column: str) -> DataFrame:
     rows = v.where("value is not null").select(F.col("value").cast("double").alias("value"), "n").unionByName(missing)
     by = Window.orderBy(F.asc_nulls_last("value")).rowsBetween(Window.unboundedPreceding, 0)
     valid = F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).over(everything())
-    return rows.select("value", "n", share(F.col("n"), F.sum("n").over(everything())).alias("share"), F.when(F.col("value").isNotNull(), share(F.sum("n").over(by), valid)).alias("cumulative"))
+    return rows.select(
+        "value", "n", share(F.col("n"), F.sum("n").over(everything())).alias("share"),
+        F.when(F.col("value").isNotNull(), share(F.sum("n").over(by), valid)).alias("cumulative"),
+    )
 
 
 def following(df: DataFrame, key: str, value: str, into: str, zones: int = 200) -> DataFrame:
@@ -193,8 +216,12 @@ def hole_ranges(df: DataFrame, column: str) -> DataFrame:
 def holes(df: DataFrame, column: str) -> DataFrame:
     """(value): the numbers of hole_ranges one by one; for columns whose ranges are known to be narrow. A wide range is cut where a task's rows end."""
     part = 100_000
-    pieces = hole_ranges(df, column).select("low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(part)))).alias("_k"))
-    return pieces.select(F.explode(F.sequence(F.col("low") + F.col("_k") * part, F.least(F.col("high"), F.col("low") + F.col("_k") * part + part - 1))).alias("value"))
+    pieces = hole_ranges(df, column).select(
+        "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("n") - 1, F.lit(part)))).alias("_k"),
+    )
+    return pieces.select(
+        F.explode(F.sequence(F.col("low") + F.col("_k") * part, F.least(F.col("high"), F.col("low") + F.col("_k") * part + part - 1))).alias("value")
+    )
 
 
 def bins_for(n: int, most: int = 50) -> int:
@@ -224,7 +251,9 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, whole: bool =
         return spark.createDataFrame([], "bin long, low double, high double, n long")
     width, count = bin_plan(lo, hi, n, bins, whole, most)
     got = src.groupBy(bin_of(F.col("x"), lo, width, count).alias("bin")).agg(F.count("*").alias("n"))
-    return spark.range(count).select(F.col("id").alias("bin")).join(F.broadcast(got), "bin", "left").select("bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
+    return spark.range(count).select(F.col("id").alias("bin")).join(F.broadcast(got), "bin", "left").select(
+        "bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n"),
+    )
 
 
 def histograms(df: DataFrame, ranges: dict[str, dict], whole: set[str], most: int = 50) -> dict[str, list[dict]]:
@@ -233,7 +262,9 @@ def histograms(df: DataFrame, ranges: dict[str, dict], whole: set[str], most: in
     if not plans:
         return {}
     names = list(plans)
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(number(df, c).isNotNull(), bin_of(number(df, c), *plans[c])).alias("bin")) for i, c in enumerate(names)])
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("i"), F.when(number(df, c).isNotNull(), bin_of(number(df, c), *plans[c])).alias("bin")) for i, c in enumerate(names)]
+    )
     got = df.select(F.explode(cells).alias("c")).where("c.bin is not null").groupBy("c.i", "c.bin").agg(F.count("*").alias("n")).collect()
     seen = {(names[r["i"]], r["bin"]): r["n"] for r in got}
     return {c: [{"bin": k, "low": lo + k * width, "high": lo + (k + 1) * width, "n": seen.get((c, k), 0)} for k in range(count)] for c, (lo, width, count) in plans.items()}
@@ -268,7 +299,9 @@ def density(df: DataFrame, column: str, points: int = 100, bins: int = 200) -> D
     grid = df.sparkSession.range(points).select((s["min"] - 3 * h + F.col("id") * ((s["max"] - s["min"] + 6 * h) / (points - 1))).alias("x"))
     b = histogram(df, column, bins).where("n > 0").select(((F.col("low") + F.col("high")) / 2).alias("m"), "n")
     z = (F.col("x") - F.col("m")) / h
-    return grid.crossJoin(F.broadcast(b)).groupBy("x").agg((F.sum(F.col("n") * F.exp(-z * z / 2)) / (s["n_valid"] * h * math.sqrt(2 * math.pi))).alias("density"))
+    return grid.crossJoin(F.broadcast(b)).groupBy("x").agg(
+        (F.sum(F.col("n") * F.exp(-z * z / 2)) / (s["n_valid"] * h * math.sqrt(2 * math.pi))).alias("density")
+    )
 
 
 def density_of(s: dict, bins: list[dict], points: int = 100) -> list[dict]:

@@ -32,11 +32,19 @@ def table(df: DataFrame, column: str, levels: list[str] | None = None) -> DataFr
         placed = both.select("level", F.coalesce("n", F.lit(0)).alias("n"), "position")
     by = Window.orderBy(F.asc_nulls_last("position"), "level")
     total = F.sum("n").over(everything())
-    return placed.select(F.row_number().over(by).cast("long").alias("position"), "level", "n", share(F.col("n"), total).alias("share"), share(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), total).alias("cumulative"))
+    return placed.select(
+        F.row_number().over(by).cast("long").alias("position"), "level", "n", share(F.col("n"), total).alias("share"),
+        share(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), total).alias("cumulative"),
+    )
 
 
 def quartiles(df: DataFrame, column: str, levels: list[str] | None = None) -> DataFrame:
     """One row: the first level at which the cumulative share reaches 25, 50 and 75 %, and the mode (ties: the lower level)."""
-    t = table(df, column, levels).withColumn("cum_n", F.sum("n").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(everything()))
+    t = table(df, column, levels).withColumn(
+        "cum_n", F.sum("n").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)),
+    ).withColumn("total", F.sum("n").over(everything()))
     at = lambda q: F.min_by("level", F.when(F.col("cum_n") * 100 >= F.col("total") * q, F.col("position")))
-    return t.agg(at(25).alias("q1"), at(50).alias("median"), at(75).alias("q3"), F.min_by("level", F.struct((-F.col("n")).alias("n"), "position")).alias("mode"))
+    return t.agg(
+        at(25).alias("q1"), at(50).alias("median"), at(75).alias("q3"),
+        F.min_by("level", F.struct((-F.col("n")).alias("n"), "position")).alias("mode"),
+    )

@@ -29,7 +29,11 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     few_levels(src)
     grid = seen.select("a").distinct().crossJoin(F.broadcast(seen.select("b").distinct()))
     full = grid.join(seen, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
-    return full.select("a", "b", "n", share(F.col("n"), F.sum("n").over(everything())).alias("of_all"), share(F.col("n"), F.sum("n").over(Window.partitionBy("a"))).alias("of_row"), share(F.col("n"), F.sum("n").over(Window.partitionBy("b"))).alias("of_column"))
+    return full.select(
+        "a", "b", "n", share(F.col("n"), F.sum("n").over(everything())).alias("of_all"),
+        share(F.col("n"), F.sum("n").over(Window.partitionBy("a"))).alias("of_row"),
+        share(F.col("n"), F.sum("n").over(Window.partitionBy("b"))).alias("of_column"),
+    )
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -39,15 +43,24 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     seen = df.select(level(df, a).alias("a"), level(df, b).alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
     cells = seen.select("a", "b", "n", F.sum("n").over(Window.partitionBy("a")).alias("row"), F.sum("n").over(Window.partitionBy("b")).alias("column"))
-    got = cells.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("column"))).alias("s"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
+    got = cells.agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / (F.col("row") * F.col("column"))).alias("s"), F.count_distinct("a").alias("r"),
+        F.count_distinct("b").alias("c"),
+    )
     chi = F.col("n") * (F.col("s") - 1)
-    return got.select(F.col("n").cast("long").alias("n"), F.col("r").alias("levels_a"), F.col("c").alias("levels_b"), chi.alias("chi2"), F.when(F.least("r", "c") > 1, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("n") * (F.least("r", "c") - 1)))).alias("cramers_v"))
+    return got.select(
+        F.col("n").cast("long").alias("n"), F.col("r").alias("levels_a"), F.col("c").alias("levels_b"), chi.alias("chi2"),
+        F.when(F.least("r", "c") > 1, F.sqrt(F.greatest(chi, F.lit(0.0)) / (F.col("n") * (F.least("r", "c") - 1)))).alias("cramers_v"),
+    )
 
 
 def group_stats(df: DataFrame, category: str, value: str, error: float = 0.0) -> DataFrame:
     """(category, n, mean, sd, min, q1, median, q3, max) of the value by category."""
     src = df.select(level(df, category).alias("category"), number(df, value).alias("x")).where("category is not null and x is not null")
-    got = src.groupBy("category").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), quantiles(F.col("x"), [0.25, 0.5, 0.75], error).alias("q"), F.max("x").alias("max"))
+    got = src.groupBy("category").agg(
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
+        quantiles(F.col("x"), [0.25, 0.5, 0.75], error).alias("q"), F.max("x").alias("max"),
+    )
     return got.select("category", "n", "mean", "sd", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 
@@ -56,7 +69,10 @@ def group_boxes(df: DataFrame, category: str, value: str, error: float = 0.0) ->
     src = df.select(level(df, category).alias("category"), number(df, value).alias("x")).where("category is not null and x is not null")
     boxes = group_stats(df, category, value, error).select("category", "q1", "median", "q3")
     inside = F.col("x").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    return src.join(boxes, "category").groupBy("category", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"), F.count_if(~inside).alias("outliers"))
+    return src.join(boxes, "category").groupBy("category", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("x"))).alias("low_whisker"), F.max(F.when(inside, F.col("x"))).alias("high_whisker"),
+        F.count_if(~inside).alias("outliers"),
+    )
 
 
 def group_densities(df: DataFrame, category: str, value: str, bins: int = 50) -> DataFrame:
@@ -65,11 +81,17 @@ def group_densities(df: DataFrame, category: str, value: str, bins: int = 50) ->
     first = edges.agg(F.min("low"), F.max("high"), F.count("*")).first()
     src = df.select(level(df, category).alias("category"), number(df, value).alias("x")).where("category is not null and x is not null")
     if first[0] is None:
-        return src.select("category", F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("density")).limit(0)
+        return src.select(
+            "category", F.lit(0).cast("long").alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).cast("long").alias("n"),
+            F.lit(0.0).alias("density"),
+        ).limit(0)
     width = (first[1] - first[0]) / first[2]
     at = F.least(F.floor((F.col("x") - first[0]) / width), F.lit(first[2] - 1)).cast("long") if width else F.lit(0).cast("long")
     got = src.groupBy("category", at.alias("bin")).agg(F.count("*").alias("n")).join(F.broadcast(edges), "bin")
-    return got.select("category", "bin", "low", "high", "n", (F.col("n") / (F.sum("n").over(Window.partitionBy("category")) * (F.lit(width) if width else F.lit(1.0)))).alias("density"))
+    return got.select(
+        "category", "bin", "low", "high", "n",
+        (F.col("n") / (F.sum("n").over(Window.partitionBy("category")) * (F.lit(width) if width else F.lit(1.0)))).alias("density"),
+    )
 
 
 def _numbers(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -122,7 +144,9 @@ def grid(df: DataFrame, a: str, b: str, bins: int = 20) -> DataFrame:
     lo_a, hi_a, lo_b, hi_b = src.agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
     if lo_a is None:
         return df.sparkSession.createDataFrame([], "bin_a long, bin_b long, n long")
-    at = lambda c, lo, hi: F.least(F.floor((F.col(c) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("long") if hi > lo else F.lit(0).cast("long")
+    at = lambda c, lo, hi: F.least(
+        F.floor((F.col(c) - lo) / ((hi - lo) / bins)), F.lit(bins - 1),
+    ).cast("long") if hi > lo else F.lit(0).cast("long")
     return src.groupBy(at("a", lo_a, hi_a).alias("bin_a"), at("b", lo_b, hi_b).alias("bin_b")).agg(F.count("*").alias("n"))
 
 
@@ -134,13 +158,19 @@ def sample(df: DataFrame, columns: list[str], size: int = 1000, seed: int = 7) -
 
 def period_by_category(df: DataFrame, instant: str, category: str, unit: str = "day") -> DataFrame:
     """(period, category, n, of_period)."""
-    src = df.select(period(col(instant).cast("timestamp_ntz"), unit).alias("period"), level(df, category).alias("category")).where("period is not null and category is not null")
+    src = df.select(
+        period(col(instant).cast("timestamp_ntz"), unit).alias("period"), level(df, category).alias("category"),
+    ).where("period is not null and category is not null")
     got = src.groupBy("period", "category").agg(F.count("*").alias("n"))
     return got.withColumn("of_period", share(F.col("n"), F.sum("n").over(Window.partitionBy("period"))))
 
 
 def period_metric(df: DataFrame, instant: str, value: str, unit: str = "day", error: float = 0.0) -> DataFrame:
     """(period, n, mean, total, q1, median, q3)."""
-    src = df.select(period(col(instant).cast("timestamp_ntz"), unit).alias("period"), number(df, value).alias("x")).where("period is not null and x is not null")
-    got = src.groupBy("period").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum("x").alias("total"), quantiles(F.col("x"), [0.25, 0.5, 0.75], error).alias("q"))
+    src = df.select(
+        period(col(instant).cast("timestamp_ntz"), unit).alias("period"), number(df, value).alias("x"),
+    ).where("period is not null and x is not null")
+    got = src.groupBy("period").agg(
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.sum("x").alias("total"), quantiles(F.col("x"), [0.25, 0.5, 0.75], error).alias("q"),
+    )
     return got.select("period", "n", "mean", "total", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))

@@ -17,7 +17,10 @@ def instants(df: DataFrame, column: str) -> DataFrame:
 def coverage(df: DataFrame, column: str) -> DataFrame:
     """One row: first and last instant, days between them, counts."""
     t = F.col("t")
-    return instants(df, column).agg(F.count("*").alias("n"), F.count(t).alias("n_valid"), F.count_distinct(t).alias("k"), F.min(t).alias("first"), F.max(t).alias("last"), (F.timestamp_diff("MICROSECOND", F.min(t), F.max(t)) / 86_400_000_000.0).alias("days"))
+    return instants(df, column).agg(
+        F.count("*").alias("n"), F.count(t).alias("n_valid"), F.count_distinct(t).alias("k"), F.min(t).alias("first"), F.max(t).alias("last"),
+        (F.timestamp_diff("MICROSECOND", F.min(t), F.max(t)) / 86_400_000_000.0).alias("days"),
+    )
 
 
 def granularity(df: DataFrame, column: str) -> DataFrame:
@@ -31,7 +34,9 @@ def text_formats(df: DataFrame, column: str) -> DataFrame:
     """(format, n, share): texts that fit each date format, all counted in one pass."""
     got = df.agg(F.count(col(column)).alias("n_valid"), *formats(col(column)))
     names = ", ".join("'" + f.replace("'", "\\'") + "', `" + f + "`" for f in FORMATS)
-    return got.select("n_valid", F.expr(f"stack({len(FORMATS)}, {names}) as (format, n)")).select("format", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
+    return got.select(
+        "n_valid", F.expr(f"stack({len(FORMATS)}, {names}) as (format, n)"),
+    ).select("format", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
 
 
 def dominant_format(df: DataFrame, column: str) -> dict | None:
@@ -49,8 +54,13 @@ def per_period(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
 def gaps(df: DataFrame, column: str, unit: str = "day") -> DataFrame:
     """(after, before, empty): neighbouring periods with rows that have `empty` periods without any between them."""
     step = {"second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY", "week": "WEEK", "month": "MONTH", "quarter": "QUARTER", "year": "YEAR"}[unit]
-    p = following(per_period(df, column, unit).select("period", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("period")).alias("_at")), "_at", "period", "next")
-    return p.select(F.col("period").alias("after"), F.col("next").alias("before"), (F.timestamp_diff(step, F.col("period"), F.col("next")) - 1).alias("empty")).where("empty > 0")
+    p = following(
+        per_period(df, column, unit).select("period", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("period")).alias("_at")),
+        "_at", "period", "next",
+    )
+    return p.select(
+        F.col("period").alias("after"), F.col("next").alias("before"), (F.timestamp_diff(step, F.col("period"), F.col("next")) - 1).alias("empty"),
+    ).where("empty > 0")
 
 
 def duplicates(df: DataFrame, column: str) -> DataFrame:
@@ -70,7 +80,9 @@ def bounds(df: DataFrame, column: str, now: str | Column, oldest: str = "1900-01
     """One row: instants after `now`, and instants before the plausible limit."""
     t = F.col("t")
     limit = F.lit(now).cast("timestamp_ntz") if isinstance(now, str) else now
-    return instants(df, column).agg(F.count(t).alias("n_valid"), F.count_if(t > limit).alias("future"), F.count_if(t < F.lit(oldest).cast("timestamp_ntz")).alias("too_old"))
+    return instants(df, column).agg(
+        F.count(t).alias("n_valid"), F.count_if(t > limit).alias("future"), F.count_if(t < F.lit(oldest).cast("timestamp_ntz")).alias("too_old"),
+    )
 
 
 def calendar(df: DataFrame, column: str) -> DataFrame:
@@ -81,7 +93,9 @@ def calendar(df: DataFrame, column: str) -> DataFrame:
 def week_grid(df: DataFrame, column: str) -> DataFrame:
     """(weekday, hour, n); weekday 1 is Monday."""
     t = F.col("t")
-    return instants(df, column).where("t is not null").groupBy(cycle(t, "weekday").cast("long").alias("weekday"), cycle(t, "hour").cast("long").alias("hour")).agg(F.count("*").alias("n"))
+    return instants(df, column).where("t is not null").groupBy(
+        cycle(t, "weekday").cast("long").alias("weekday"), cycle(t, "hour").cast("long").alias("hour"),
+    ).agg(F.count("*").alias("n"))
 
 
 def durations(df: DataFrame, start: str, end: str, name: str = "seconds") -> DataFrame:

@@ -13,7 +13,10 @@ from descry.operators import numeric
 def form(df: DataFrame, column: str) -> DataFrame:
     """One row: least, median, mean and greatest length in characters, and the same of tokens."""
     src = df.select(F.char_length(col(column)).cast("double").alias("c"), strings.tokens(col(column)).cast("double").alias("t"))
-    return src.agg(F.count("c").alias("n_valid"), F.min("c").alias("min_length"), F.percentile("c", 0.5).alias("median_length"), F.avg("c").alias("mean_length"), F.max("c").alias("max_length"), F.min("t").alias("min_tokens"), F.percentile("t", 0.5).alias("median_tokens"), F.max("t").alias("max_tokens"))
+    return src.agg(
+        F.count("c").alias("n_valid"), F.min("c").alias("min_length"), F.percentile("c", 0.5).alias("median_length"), F.avg("c").alias("mean_length"),
+        F.max("c").alias("max_length"), F.min("t").alias("min_tokens"), F.percentile("t", 0.5).alias("median_tokens"), F.max("t").alias("max_tokens"),
+    )
 
 
 def lengths(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
@@ -38,12 +41,16 @@ def patterns(df: DataFrame, column: str) -> DataFrame:
     c = strings.strip(col(column))
     got = df.agg(F.count(c).alias("n_valid"), *[F.count_if(c.rlike(rule)).alias(name) for name, rule in strings.PATTERNS.items()])
     names = ", ".join(f"'{p}', `{p}`" for p in strings.PATTERNS)
-    return got.select("n_valid", F.expr(f"stack({len(strings.PATTERNS)}, {names}) as (pattern, n)")).select("pattern", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
+    return got.select(
+        "n_valid", F.expr(f"stack({len(strings.PATTERNS)}, {names}) as (pattern, n)"),
+    ).select("pattern", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
 
 
 def dominant_pattern(df: DataFrame, column: str) -> DataFrame:
     """One row: the most frequent known format (ties: by name), and how many values adhere to it; null where none occurs."""
-    return patterns(df, column).agg(F.min_by(F.struct("pattern", "n", "share"), F.struct((-F.col("n")).alias("n"), "pattern")).alias("p")).select(F.when(F.col("p.n") > 0, F.col("p.pattern")).alias("pattern"), F.col("p.n").alias("n"), F.col("p.share").alias("share"))
+    return patterns(df, column).agg(F.min_by(F.struct("pattern", "n", "share"), F.struct((-F.col("n")).alias("n"), "pattern")).alias("p")).select(
+        F.when(F.col("p.n") > 0, F.col("p.pattern")).alias("pattern"), F.col("p.n").alias("n"), F.col("p.share").alias("share"),
+    )
 
 
 def violations(df: DataFrame, column: str, pattern: str, size: int = 10) -> DataFrame:
@@ -68,7 +75,10 @@ def cases(df: DataFrame, column: str) -> DataFrame:
 def disguised(df: DataFrame, column: str) -> DataFrame:
     """One row: values that stand for a missing one, and texts that could be cast to a number."""
     c = col(column)
-    return df.agg(F.count(c).alias("n_valid"), F.count_if(strings.disguised(c)).alias("disguised"), share(F.count_if(strings.disguised(c)), F.count(c)).alias("share"), F.count(strings.strip(c).try_cast("double")).alias("castable"))
+    return df.agg(
+        F.count(c).alias("n_valid"), F.count_if(strings.disguised(c)).alias("disguised"),
+        share(F.count_if(strings.disguised(c)), F.count(c)).alias("share"), F.count(strings.strip(c).try_cast("double")).alias("castable"),
+    )
 
 
 def dirt(df: DataFrame, column: str) -> DataFrame:
@@ -76,7 +86,9 @@ def dirt(df: DataFrame, column: str) -> DataFrame:
     checks = strings.dirt(col(column))
     got = df.agg(F.count(col(column)).alias("n_valid"), *[F.count_if(c).alias(k) for k, c in checks.items()])
     names = ", ".join(f"'{k}', `{k}`" for k in checks)
-    return got.select("n_valid", F.expr(f"stack({len(checks)}, {names}) as (check_name, n)")).select("check_name", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
+    return got.select(
+        "n_valid", F.expr(f"stack({len(checks)}, {names}) as (check_name, n)"),
+    ).select("check_name", "n", share(F.col("n"), F.col("n_valid")).alias("share"))
 
 
 def offenders(df: DataFrame, column: str, check: str, size: int = 10) -> DataFrame:

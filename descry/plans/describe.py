@@ -41,7 +41,10 @@ def schema_of(df: DataFrame, config: Config | None = None, overrides: dict[str,
     return meta, infer_schema(meta, overrides, config, orders)
 
 
-def describe(df: DataFrame, overrides: dict[str, VariableType] | None = None, config: Config | None = None, columns: list[str] | None = None, rephrase: Callable[[str], str] | None = None, now: str | None = None) -> DatasetProfile:
+def describe(
+    df: DataFrame, overrides: dict[str, VariableType] | None = None, config: Config | None = None, columns: list[str] | None = None,
+    rephrase: Callable[[str], str] | None = None, now: str | None = None,
+) -> DatasetProfile:
     """Profile every column of a batch DataFrame (or the named ones). `now` (default: the session's clock) tells which instants lie in the future.
 
     Moments, quantiles, outliers and histograms of all numeric columns come from three scans; the others take a scan for each table of levels.
@@ -112,15 +115,24 @@ def _fill(df: DataFrame, c: str, kind: VariableType, p: ColumnProfile, config: C
             p.notes.append("possible ordinal: declare the order of its levels if they have one")
     elif kind.subtype is S.NOMINAL and kind.regime is R.LONG_TAIL:
         shape = one(freq.shape(df, c, config.rare_level_pct))
-        essential = {"k": shape["k"], "levels": rows(freq.top(df, c, config.long_tail_top_n).orderBy("position")), "concentration": rows(freq.concentration(df, c)), "singletons": one(freq.singletons(df, c))}
+        essential = {
+            "k": shape["k"], "levels": rows(freq.top(df, c, config.long_tail_top_n).orderBy("position")),
+            "concentration": rows(freq.concentration(df, c)), "singletons": one(freq.singletons(df, c)),
+        }
         complete = shape | {"variants": rows(freq.variants(df, c).orderBy("key", F.desc("n")).limit(config.sample_size))}
         chart("Pareto", essential["levels"], "many levels with repetition")
         chart("bars with Others", essential["levels"], "the tail is one bar")
         chart("treemap", essential["levels"], "shares of the largest levels and of the rest")
     elif kind.subtype is S.NOMINAL:
         essential = one(text.form(df, c)) | {"samples": rows(text.extremes(df, c, config.sample_size))}
-        complete = {"patterns": rows(text.patterns(df, c)), "dominant": one(text.dominant_pattern(df, c)), "masks": rows(text.masks(df, c, config.sample_size)), "cases": rows(text.cases(df, c)), "disguised": one(text.disguised(df, c)), "dirt": rows(text.dirt(df, c))}
-        complete["offenders"] = [{"check_name": r["check_name"], "value": o["value"]} for r in complete["dirt"] if r["n"] for o in rows(text.offenders(df, c, r["check_name"], config.sample_size))]
+        complete = {
+            "patterns": rows(text.patterns(df, c)), "dominant": one(text.dominant_pattern(df, c)),
+            "masks": rows(text.masks(df, c, config.sample_size)), "cases": rows(text.cases(df, c)), "disguised": one(text.disguised(df, c)),
+            "dirt": rows(text.dirt(df, c)),
+        }
+        complete["offenders"] = [
+            {"check_name": r["check_name"], "value": o["value"]} for r in complete["dirt"] if r["n"] for o in rows(text.offenders(df, c, r["check_name"], config.sample_size))
+        ]
         chart("length histogram", rows(text.lengths(df, c)), "nearly every string differs")
         chart("mask bars", complete["masks"], "formats side by side")
         chart("check panel", complete["dirt"], "checks of the strings side by side")
@@ -143,8 +155,15 @@ def _fill(df: DataFrame, c: str, kind: VariableType, p: ColumnProfile, config: C
             chart("integer histogram", bins, "many values")
             chart("cumulative distribution", curve(bins), "share of the rows up to each value")
     elif kind.subtype is S.CONTINUOUS:
-        essential = {k: s[k] for k in ("min", "q1", "median", "mean", "q3", "max")} | {"extremes": rows(numeric.value_extremes(df, c, config.continuous_extremes_levels))}
-        complete = {k: s[k] for k in ("p1", "p5", "p95", "p99", "sd", "iqr", "cv", "skewness", "kurtosis", "quantile_error", "outliers", "outlier_share", "low_whisker", "high_whisker")}
+        essential = {k: s[k] for k in ("min", "q1", "median", "mean", "q3", "max")} | {
+            "extremes": rows(numeric.value_extremes(df, c, config.continuous_extremes_levels))
+        }
+        complete = {
+            k: s[k] for k in (
+                "p1", "p5", "p95", "p99", "sd", "iqr", "cv", "skewness", "kurtosis", "quantile_error", "outliers", "outlier_share", "low_whisker",
+                "high_whisker",
+            )
+        }
         chart("histogram", bins, "continuous values")
         chart("boxplot", [{k: s[k] for k in ("q1", "median", "q3", "low_whisker", "high_whisker", "outliers")}], "five numbers and fences")
         chart("cumulative distribution", curve(bins), "share of the rows up to each value")
@@ -160,7 +179,10 @@ def _fill(df: DataFrame, c: str, kind: VariableType, p: ColumnProfile, config: C
             p.quality |= {"date_format": fmt and fmt["format"], "date_format_share": fmt and fmt["share"]}
         essential = one(temporal.coverage(src, c)) | one(temporal.granularity(src, c))
         unit = essential["granularity"] if essential["granularity"] in ("year", "quarter", "month", "week", "day") else "day"
-        complete = {"cycles": rows(temporal.cycles(src, c).orderBy("part", "value")), "gaps": rows(temporal.gaps(src, c, unit).orderBy("after").limit(config.sample_size)), "duplicates": temporal.duplicates(src, c).count()}
+        complete = {
+            "cycles": rows(temporal.cycles(src, c).orderBy("part", "value")),
+            "gaps": rows(temporal.gaps(src, c, unit).orderBy("after").limit(config.sample_size)), "duplicates": temporal.duplicates(src, c).count(),
+        }
         odd = one(temporal.bounds(src, c, now or F.current_timestamp().cast("timestamp_ntz"), config.oldest))
         complete |= {"future": odd["future"], "too_old": odd["too_old"]}
         if odd["future"]:
@@ -189,7 +211,9 @@ def position(c: str, levels: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(x) for x in levels]), col(c).cast("string")), F.lit(0)).alias(c)
 
 
-def describe_pair(df: DataFrame, a: str, b: str, kinds: dict[str, VariableType] | None = None, unit: str = "day", config: Config | None = None) -> dict[str, DataFrame]:
+def describe_pair(
+    df: DataFrame, a: str, b: str, kinds: dict[str, VariableType] | None = None, unit: str = "day", config: Config | None = None,
+) -> dict[str, DataFrame]:
     """The analyses of two columns by their classes, as lazy DataFrames."""
     from descry.operators import pair
 
@@ -208,11 +232,17 @@ def describe_pair(df: DataFrame, a: str, b: str, kinds: dict[str, VariableType]
             out |= {"kendall": pair.kendall(placed, a, b), "spearman": pair.spearman(placed, a, b)}
         return out
     if gx is C.QUALITATIVE and gy is C.QUANTITATIVE:
-        return {"group_stats": pair.group_stats(df, x, y, error), "group_boxes": pair.group_boxes(df, x, y, error), "group_densities": pair.group_densities(df, x, y)}
+        return {
+            "group_stats": pair.group_stats(df, x, y, error), "group_boxes": pair.group_boxes(df, x, y, error),
+            "group_densities": pair.group_densities(df, x, y),
+        }
     if gx is C.QUALITATIVE:
         return {"period_by_category": pair.period_by_category(df, y, x, unit)}
     if gx is C.TEMPORAL and gy is C.QUANTITATIVE:
         return {"period_metric": pair.period_metric(df, x, y, unit, error)}
     if gx is C.QUANTITATIVE:
-        return {"correlation": pair.correlation(df, a, b), "spearman": pair.spearman(df, a, b), "trend": pair.trend(df, a, b), "grid": pair.grid(df, a, b), "sample": pair.sample(df, [a, b])}
+        return {
+            "correlation": pair.correlation(df, a, b), "spearman": pair.spearman(df, a, b), "trend": pair.trend(df, a, b),
+            "grid": pair.grid(df, a, b), "sample": pair.sample(df, [a, b]),
+        }
     raise ValueError("two instants have no pair analysis; profile their difference as a duration")

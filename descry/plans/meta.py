@@ -70,7 +70,11 @@ def collect_metadata(df: DataFrame, config: Config | None = None) -> dict[str, d
     """
     config = config or Config()
     part = sampled(df, config)
-    out = {r["column"]: {"dtype": r.dtype, "n": r.n, "n_valid": r.n_valid, "n_distinct": r.k, "all_integer": r.all_integer, "parse_date_rate": None} for r in column_metadata(part, exact=False).collect()}
+    out = {
+        r["column"]: {
+            "dtype": r.dtype, "n": r.n, "n_valid": r.n_valid, "n_distinct": r.k, "all_integer": r.all_integer, "parse_date_rate": None,
+        } for r in column_metadata(part, exact=False).collect()
+    }
     close = [c for c, m in out.items() if near_a_threshold(m, config)]
     if close:
         exact = part.agg(*[F.count_distinct(clean(df, c)).alias(f"k{i}") for i, c in enumerate(close)]).first()
@@ -82,13 +86,19 @@ def collect_metadata(df: DataFrame, config: Config | None = None) -> dict[str, d
         for i, c in enumerate(strings):  # of each column, so many values that aren't null
             some = by_hash(part.where(col(c).isNotNull()), config.date_parse_rows).select(F.lit(i).alias("i"), col(c).alias("v"))
             tried = some if tried is None else tried.unionByName(some)
-        seen = {r["i"]: r for r in tried.groupBy("i").agg(F.count("*").alias("n"), F.count(parse(F.col("v"))).alias("dates"), F.count_if(F.col("v").rlike(CODE)).alias("codes")).collect()}
+        seen = {
+            r["i"]: r for r in tried.groupBy("i").agg(
+                F.count("*").alias("n"), F.count(parse(F.col("v"))).alias("dates"), F.count_if(F.col("v").rlike(CODE)).alias("codes"),
+            ).collect()
+        }
         for i, c in enumerate(strings):
             n, dates, codes = (seen[i]["n"], seen[i]["dates"], seen[i]["codes"]) if i in seen else (0, 0, 0)
             out[c] |= {"parse_date_rate": dates / n if n else 0.0, "parse_date_n": n, "code_rate": codes / n if n else 0.0}
     numbers = [f.name for f in df.schema.fields if numeric(f.dataType)]
     if numbers:
-        ends = part.agg(*[e for i, c in enumerate(numbers) for e in (F.min(clean(df, c)).cast("double").alias(f"a{i}"), F.max(clean(df, c)).cast("double").alias(f"b{i}"))]).first()
+        ends = part.agg(
+            *[e for i, c in enumerate(numbers) for e in (F.min(clean(df, c)).cast("double").alias(f"a{i}"), F.max(clean(df, c)).cast("double").alias(f"b{i}"))]
+        ).first()
         for i, c in enumerate(numbers):
             out[c] |= {"min": ends[f"a{i}"], "max": ends[f"b{i}"]}
     for f in df.schema.fields:

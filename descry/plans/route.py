@@ -60,7 +60,10 @@ def route(meta: dict, config: Config | None = None, name: str = "", levels: list
     return VariableType(C.QUALITATIVE, S.NOMINAL, R.CATEGORICAL if k <= config.max_categorical_levels else R.LONG_TAIL, 0.8, warnings=warnings)
 
 
-def infer_schema(metadata: dict[str, dict], overrides: dict[str, VariableType] | None = None, config: Config | None = None, orders: dict[str, list[str]] | None = None) -> dict[str, VariableType]:
+def infer_schema(
+    metadata: dict[str, dict], overrides: dict[str, VariableType] | None = None, config: Config | None = None,
+    orders: dict[str, list[str]] | None = None,
+) -> dict[str, VariableType]:
     """{column: kind}; the user's overrides win, then declared orders, then orders found in labels."""
     config, overrides = config or Config(), overrides or {}
     if unknown := set(overrides) - set(metadata):

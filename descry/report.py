@@ -46,7 +46,9 @@ def table(rows: list[dict]) -> str:
     names = list(rows[0])
     top = max((r.get("n") or 0 for r in rows), default=0)
     bar = lambda r: f"<td><span class=bar style='width:{100 * (r.get('n') or 0) / top:.0f}px'></span></td>" if top else ""
-    return "<table><tr>" + "".join(f"<th>{escape(n)}</th>" for n in names) + "</tr>" + "".join("<tr>" + "".join(f"<td>{cell(r.get(n))}</td>" for n in names) + bar(r) + "</tr>" for r in rows) + "</table>"
+    return "<table><tr>" + "".join(f"<th>{escape(n)}</th>" for n in names) + "</tr>" + "".join(
+        "<tr>" + "".join(f"<td>{cell(r.get(n))}</td>" for n in names) + bar(r) + "</tr>" for r in rows
+    ) + "</table>"
 
 
 def html(profile: DatasetProfile) -> str:
@@ -57,7 +59,9 @@ def html(profile: DatasetProfile) -> str:
             parts.append(f"<p>{escape(c.narrative)}</p>")
         for layer, stats in ({"quality": c.quality} | c.summary).items():
             plain = {k: v for k, v in stats.items() if not isinstance(v, list)}
-            parts.append(f"<details{' open' if layer == 'essential' else ''}><summary>{escape(layer)}</summary>" + table([{"stat": k, "value": v} for k, v in plain.items()]))
+            parts.append(
+                f"<details{' open' if layer == 'essential' else ''}><summary>{escape(layer)}</summary>" + table([{"stat": k, "value": v} for k, v in plain.items()])
+            )
             parts += [f"<h4>{escape(k)}</h4>{table(v)}" for k, v in stats.items() if isinstance(v, list) and v and isinstance(v[0], dict)]
             parts.append("</details>")
         parts += [f"<p class=warning>{escape(x)}</p>" for x in [*c.notes, *c.inferred_type.warnings]]

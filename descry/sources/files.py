@@ -25,7 +25,10 @@ def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", rows: int | None = None, malformed: str = "PERMISSIVE", schema: str | None = None, null_value: str | None = None) -> DataFrame:
+def csv(
+    spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", rows: int | None = None, malformed: str = "PERMISSIVE",
+    schema: str | None = None, null_value: str | None = None,
+) -> DataFrame:
     """A CSV file with a header; types are inferred unless a schema is given."""
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("mode", malformed)
     if null_value is not None:
@@ -51,7 +54,9 @@ def csv_any(spark: SparkSession, path: str, rows: int | None = None) -> DataFram
 def broken(df: DataFrame) -> bool:
     """Whether a name or any value holds the mark that stands for bytes that the encoding doesn't know; one pass over the whole file, up to the first."""
     mark = "\ufffd"
-    return any(mark in c for c in df.columns) or not df.where(F.concat_ws("", *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).contains(mark)).isEmpty()
+    return any(mark in c for c in df.columns) or not df.where(
+        F.concat_ws("", *[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).contains(mark)
+    ).isEmpty()
 
 
 def nested_json(spark: SparkSession, path: str) -> DataFrame:

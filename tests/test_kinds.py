@@ -8,7 +8,10 @@ def meta(dtype="bigint", n=1000, k=10, integer=True, **more):
     return {"dtype": dtype, "n": n, "n_valid": n, "n_distinct": k, "all_integer": integer, "parse_date_rate": None} | more
 
 
-FITS = {"nominal": "qualitative", "ordinal": "qualitative", "binary": "qualitative", "discrete": "quantitative", "continuous": "quantitative", "instant": "temporal", "duration": "temporal"}
+FITS = {
+    "nominal": "qualitative", "ordinal": "qualitative", "binary": "qualitative", "discrete": "quantitative", "continuous": "quantitative",
+    "instant": "temporal", "duration": "temporal",
+}
 
 
 @pytest.mark.parametrize("kind", VariableClass)
@@ -16,7 +19,9 @@ FITS = {"nominal": "qualitative", "ordinal": "qualitative", "binary": "qualitati
 @pytest.mark.parametrize("regime", [None, *CardinalityRegime])
 def test_what_fits_together(kind, subtype, regime):
     ok = subtype is None or FITS[subtype.value] == kind.value
-    ok &= regime is None or subtype is not None and regime.value in {"nominal": ("categorical", "long_tail", "textual"), "discrete": ("table", "histogram")}.get(subtype.value, ())
+    ok &= regime is None or subtype is not None and regime.value in {
+        "nominal": ("categorical", "long_tail", "textual"), "discrete": ("table", "histogram"),
+    }.get(subtype.value, ())
     if not ok:
         with pytest.raises(ValueError):
             VariableType(kind, subtype, regime)
@@ -60,7 +65,10 @@ def test_routes(m, want):
 
 def test_overrides_orders_and_codes():
     metadata = {"size": meta("string", k=3), "zip_code": meta(k=400), "rank": meta(k=1000)}
-    got = infer_schema(metadata, {"rank": VariableType(VariableClass.QUANTITATIVE, VariableSubtype.DISCRETE, CardinalityRegime.HISTOGRAM)}, Config(ordinal_levels={"size": ["S", "M", "L"]}))
+    got = infer_schema(
+        metadata, {"rank": VariableType(VariableClass.QUANTITATIVE, VariableSubtype.DISCRETE, CardinalityRegime.HISTOGRAM)},
+        Config(ordinal_levels={"size": ["S", "M", "L"]}),
+    )
     assert got["size"].ordered_levels == ["S", "M", "L"]
     assert got["zip_code"].warnings and got["zip_code"].route == "discrete[histogram]"
     assert got["rank"].route == "discrete[histogram]"

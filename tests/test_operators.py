@@ -122,7 +122,10 @@ def test_moments_are_adjusted(spark):
 def test_text(spark):
     d = spark.createDataFrame([(" a",), ("b  c",), ("x y",), ("tttt",), ("Ã©",), ("aб",), ("n\n",), ("<br>",), ("N/A",), (None,)], "s string")
     got = {r.check_name: r.n for r in text.dirt(d, "s").collect()}
-    assert (got["edge_space"], got["double_space"], got["invisible"], got["repeated"], got["mojibake"], got["mixed_alphabets"], got["html"], got["control"], got["control_no_space"]) == (2, 1, 1, 1, 1, 1, 1, 1, 0)
+    assert (
+        got["edge_space"], got["double_space"], got["invisible"], got["repeated"], got["mojibake"], got["mixed_alphabets"], got["html"],
+        got["control"], got["control_no_space"],
+    ) == (2, 1, 1, 1, 1, 1, 1, 1, 0)
     assert text.disguised(d, "s").first().disguised == 1
     assert [r.value for r in text.offenders(d, "s", "html").collect()] == ["<br>"]
     mails = spark.createDataFrame([("a@b.co",), ("c@d.org",), ("nope",)], "s string")
@@ -155,7 +158,9 @@ def test_temporal(spark):
 
 
 def test_pairs(spark):
-    d = spark.createDataFrame([("a", "x", 1.0, 2.0), ("a", "x", 2.0, 4.5), ("b", "y", 3.0, 6.0), ("b", "x", 4.0, 9.0)], "p string, q string, u double, v double")
+    d = spark.createDataFrame(
+        [("a", "x", 1.0, 2.0), ("a", "x", 2.0, 4.5), ("b", "y", 3.0, 6.0), ("b", "x", 4.0, 9.0)], "p string, q string, u double, v double",
+    )
     cells = {(r.a, r.b): r.n for r in pair.contingency(d, "p", "q").collect()}
     assert cells == {("a", "x"): 2, ("a", "y"): 0, ("b", "x"): 1, ("b", "y"): 1}
     assert math.isclose(pair.chi_square(d, "p", "q").first().chi2, 4 / 3)

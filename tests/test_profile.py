@@ -15,9 +15,18 @@ from descry.streaming import per_period
 DATA = "/root/testdata/sf0.01"
 # The routes of the driver's tables at this scale.
 ROUTES = {
-    "customer": {"c_custkey": "identifier", "c_name": "nominal[textual]", "c_nationkey": "discrete[table]", "c_acctbal": "continuous", "c_mktsegment": "nominal[categorical]"},
-    "orders": {"o_orderkey": "identifier", "o_custkey": "discrete[histogram]", "o_orderstatus": "nominal[categorical]", "o_totalprice": "continuous", "o_orderdate": "instant", "o_orderpriority": "ordinal"},
-    "part": {"p_partkey": "identifier", "p_name": "nominal[long_tail]", "p_brand": "nominal[categorical]", "p_type": "nominal[categorical]", "p_size": "discrete[histogram]", "p_retailprice": "continuous"},
+    "customer": {
+        "c_custkey": "identifier", "c_name": "nominal[textual]", "c_nationkey": "discrete[table]", "c_acctbal": "continuous",
+        "c_mktsegment": "nominal[categorical]",
+    },
+    "orders": {
+        "o_orderkey": "identifier", "o_custkey": "discrete[histogram]", "o_orderstatus": "nominal[categorical]", "o_totalprice": "continuous",
+        "o_orderdate": "instant", "o_orderpriority": "ordinal",
+    },
+    "part": {
+        "p_partkey": "identifier", "p_name": "nominal[long_tail]", "p_brand": "nominal[categorical]", "p_type": "nominal[categorical]",
+        "p_size": "discrete[histogram]", "p_retailprice": "continuous",
+    },
     "supplier": {"s_suppkey": "identifier", "s_name": "nominal[textual]", "s_nationkey": "discrete[table]", "s_acctbal": "continuous"},
     "embeddings": {"vec_id": "identifier", "embedding": "unsupported", "label": "discrete[table]"},
     "labels": {"doc_id": "identifier", "quality": "binary", "toxic": "binary"},
@@ -34,11 +43,16 @@ def test_describe_everything(spark):
     d = spark.range(400).select(
         F.col("id").alias("order_id"), F.concat(F.lit("Name "), F.col("id")).alias("name"), (F.col("id") % 2 == 0).alias("flag"), (F.col("id") % 5).alias("items"), (F.col("id") * 1.37).alias("price"),
         F.when(F.col("id") % 10 == 0, None).otherwise(F.element_at(F.array(*[F.lit(f"{i} stars") for i in range(1, 4)]), (F.col("id") % 3 + 1).cast("int"))).alias("stars"),
-        F.timestamp_add("DAY", (F.col("id") % 90).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("day"), F.expr("make_dt_interval(0, cast(id % 7 as int))").alias("took"), F.array(F.col("id")).alias("nested"), F.lit(None).cast("string").alias("void"),
+        F.timestamp_add(
+            "DAY", (F.col("id") % 90).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"),
+        ).alias("day"), F.expr("make_dt_interval(0, cast(id % 7 as int))").alias("took"), F.array(F.col("id")).alias("nested"), F.lit(None).cast("string").alias("void"),
     )
     p = descry.describe(d, overrides={"items": VariableType(VariableClass.QUANTITATIVE, VariableSubtype.CONTINUOUS)}, config=Config(language="en"))
     routes = {c: t.route for c, t in p.schema.items()}
-    assert routes == {"order_id": "identifier", "name": "nominal[textual]", "flag": "binary", "items": "continuous", "price": "continuous", "stars": "ordinal", "day": "instant", "took": "duration", "nested": "unsupported", "void": "unsupported"}
+    assert routes == {
+        "order_id": "identifier", "name": "nominal[textual]", "flag": "binary", "items": "continuous", "price": "continuous", "stars": "ordinal",
+        "day": "instant", "took": "duration", "nested": "unsupported", "void": "unsupported",
+    }
     assert p.n_rows == 400 and p["stars"].quality["n_missing"] == 40
     assert p["stars"].summary["essential"]["median"] == "2 stars"
     assert p["day"].summary["essential"]["granularity"] == "day"
@@ -67,7 +81,10 @@ def test_pairs_by_class(spark):
 
 def test_narrative_and_number_lock():
     kind = VariableType(VariableClass.QUALITATIVE, VariableSubtype.BINARY)
-    levels = [{"level": "No", "n": 5174, "of_total": 5174 / 7043}, {"level": "Yes", "n": 1869, "of_total": 1869 / 7043}, {"level": "(missing)", "n": 0, "of_total": 0.0}]
+    levels = [
+        {"level": "No", "n": 5174, "of_total": 5174 / 7043}, {"level": "Yes", "n": 1869, "of_total": 1869 / 7043},
+        {"level": "(missing)", "n": 0, "of_total": 0.0},
+    ]
     p = ColumnProfile("Churn", kind, {"n": 7043, "n_missing": 0}, {"essential": {"levels": levels}})
     pt, en = narrate(p), narrate(p, "en")
     assert "7.043 registros" in pt and "5.174" in pt and "73,5%" in pt and "26,5%" in pt
@@ -109,14 +126,20 @@ def test_entry(spark):
 
 def test_curves_modes_and_bounds(spark):
     d = spark.range(500).select(
-        (F.col("id") % 7 + F.when(F.col("id") % 7 == 6, 10).otherwise(0)).alias("few"), (F.col("id") % 101 % 90).alias("many"), (F.sqrt(F.col("id") + 1.0) * 3.7).alias("x"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("kind"),
-        F.when(F.col("id") == 3, F.lit("2999-01-01")).when(F.col("id") == 4, F.lit("1700-01-01")).otherwise("2024-01-01").cast("timestamp_ntz").alias("day"), F.date_format(F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")), "MM/dd/yyyy").alias("text_day"), F.expr("make_dt_interval(0, cast(id % 7 - 1 as int))").alias("took"),
+        (F.col("id") % 7 + F.when(F.col("id") % 7 == 6, 10).otherwise(0)).alias("few"), (F.col("id") % 101 % 90).alias("many"), (F.sqrt(F.col("id") + 1.0) * 3.7).alias("x"), F.element_at(
+            F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int"),
+        ).alias("kind"),
+        F.when(F.col("id") == 3, F.lit("2999-01-01")).when(F.col("id") == 4, F.lit("1700-01-01")).otherwise("2024-01-01").cast("timestamp_ntz").alias("day"), F.date_format(
+            F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2023-01-01").cast("timestamp_ntz")), "MM/dd/yyyy",
+        ).alias("text_day"), F.expr("make_dt_interval(0, cast(id % 7 - 1 as int))").alias("took"),
     )
     p = descry.describe(d, config=Config(language="en", narrative_tone="direto", max_bins=6, narrative_llm=lambda t: t + " Done."), now="2025-01-01")
     assert p["few"].summary["essential"]["mode"] == 0 and p["few"].summary["complete"]["holes"] == [{"low": 6, "high": 15, "n": 10}]
     assert p["many"].summary["essential"]["mode"] == 0 and len(p["many"].summary["essential"]["histogram"]) <= 6
     charts = {n: [v.chart for v in c.viz_suggestions] for n, c in p.columns.items()}
-    assert {"cumulative distribution", "density", "quantile plot", "boxplot"} <= set(charts["x"]) and "cumulative distribution" in charts["few"] and "cumulative distribution" in charts["many"]
+    assert {
+        "cumulative distribution", "density", "quantile plot", "boxplot",
+    } <= set(charts["x"]) and "cumulative distribution" in charts["few"] and "cumulative distribution" in charts["many"]
     curve = next(v for v in p["x"].viz_suggestions if v.chart == "cumulative distribution").data["rows"]
     assert curve[-1]["at_most"] == 1.0 and all(a["at_most"] <= b["at_most"] for a, b in zip(curve, curve[1:], strict=False))
     assert p["day"].summary["complete"]["future"] == 1 and p["day"].summary["complete"]["too_old"] == 1 and len(p["day"].notes) == 2
@@ -131,7 +154,10 @@ def test_curves_modes_and_bounds(spark):
 def test_summaries_equal_the_single_ones(spark):
     from descry.operators import numeric
 
-    d = spark.range(300).select((F.col("id") * F.col("id") / 7.0).alias("a"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 11).alias("b"), F.lit(None).cast("double").alias("c"), F.lit(4.0).alias("d"))
+    d = spark.range(300).select(
+        (F.col("id") * F.col("id") / 7.0).alias("a"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 11).alias("b"),
+        F.lit(None).cast("double").alias("c"), F.lit(4.0).alias("d"),
+    )
     got = numeric.summaries(d, d.columns)
     for c in d.columns:
         one, out = numeric.summary(d, c).first().asDict(), numeric.outliers(d, c).first()
@@ -143,7 +169,10 @@ def test_summaries_equal_the_single_ones(spark):
 
 
 def test_pairs_of_ordered_levels(spark):
-    d = spark.range(60).select(F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("top")), (F.col("id") % 3 + 1).cast("int")).alias("a"), F.element_at(F.array(F.lit("1 x"), F.lit("2 y"), F.lit("3 z")), ((F.col("id") + F.floor(F.col("id") / 50)) % 3 + 1).cast("int")).alias("b"))
+    d = spark.range(60).select(
+        F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("top")), (F.col("id") % 3 + 1).cast("int")).alias("a"),
+        F.element_at(F.array(F.lit("1 x"), F.lit("2 y"), F.lit("3 z")), ((F.col("id") + F.floor(F.col("id") / 50)) % 3 + 1).cast("int")).alias("b"),
+    )
     got = descry.describe_pair(d, "a", "b", config=Config(ordinal_levels={"a": ["low", "mid", "top"]}))
     assert 0.3 < got["kendall"].first().tau_b < 1 and 0.3 < got["spearman"].first().spearman < 1
     from descry.operators import pair
