@@ -106,7 +106,9 @@ def digest_column(text: str | Column, rank_file: str, pattern: str) -> Column:
                 n.append(len(ids))
                 a.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 b.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return digest(text)
 

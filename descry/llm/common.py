@@ -67,7 +67,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, where: Column, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 18) -> list[tuple[str, int]]:
+def sampled(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, where: Column, id_col: str = "doc_id", text_col: str = "text",
+    max_bytes: int = 1 << 18,
+) -> list[tuple[str, int]]:
     """At most `per_class` labelled texts of each class, chosen by a hash of the id, for fitting on the driver.
 
     `where` restricts the ids (a fold). Texts beyond `max_bytes` aren't used for fitting.

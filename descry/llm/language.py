@@ -58,12 +58,20 @@ def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, ma
     """
     known = docs.where(where & F.col(lang_col).isNotNull() & F.regexp_like(text_col, F.lit(r"\p{L}")))
     size = F.octet_length(text_col)
-    known = known.select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.least(size, F.lit(max_bytes)).alias("_bytes"), (~size.between(200, max_bytes)).alias("_other"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"))
+    known = known.select(
+        F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.least(size, F.lit(max_bytes)).alias("_bytes"),
+        (~size.between(200, max_bytes)).alias("_other"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_h"),
+    )
     # partial aggregation keeps a text for each slot in a task; CANDIDATES rows a language are left
-    slots = known.groupBy("_lang", F.pmod("_h", F.lit(CANDIDATES)).alias("_slot")).agg(F.min(F.struct("_other", "_h", "_id", "_bytes")).alias("_x"), F.count("*").alias("_n"))
+    slots = known.groupBy("_lang", F.pmod("_h", F.lit(CANDIDATES)).alias("_slot")).agg(
+        F.min(F.struct("_other", "_h", "_id", "_bytes")).alias("_x"), F.count("*").alias("_n"),
+    )
     row = Window.partitionBy("_lang").orderBy("_x._other", "_x._h")
     before = F.coalesce(F.sum("_x._bytes").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = slots.select("_lang", "_x._id", before.alias("_before"), F.row_number().over(row).alias("_nth"), F.sum("_n").over(Window.partitionBy("_lang")).alias("_rows"))
+    ranked = slots.select(
+        "_lang", "_x._id", before.alias("_before"), F.row_number().over(row).alias("_nth"),
+        F.sum("_n").over(Window.partitionBy("_lang")).alias("_rows"),
+    )
     picked = ranked.where(F.col("_before") < CONTENT).collect()
     if not picked:
         return {}
@@ -78,7 +86,10 @@ def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, ma
     return {lang: b"\n".join(out[lang])[:CONTENT] for lang in sorted(out, key=lambda x: (-rows_of[x], x))}
 
 
-def identify(docs: DataFrame, folds: int = 4, held: int = 2, max_bytes: int = 1 << 14, min_margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(
+    docs: DataFrame, folds: int = 4, held: int = 2, max_bytes: int = 1 << 14, min_margin: float = 0.01, id_col: str = "doc_id",
+    text_col: str = "text", lang_col: str = "lang",
+) -> DataFrame:
     """(id, held_out, lang_pred, score, margin, rejected) for every row.
 
     Dictionaries come from at most CONTENT bytes of texts a language (a bounded sample) outside the held-out fold; score is
@@ -103,7 +114,12 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, max_bytes: int = 1
                 langs.append(own.names[k])
                 margins.append((rest[0] - size[k]) / max(rest[0], 1) if rest else 1.0)
                 scores.append(min(1.0, 2 * (1 - size[k] * len(rest) / max(sum(rest), 1))) if rest else 1.0)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], ["lang", "score", "margin"])
+            yield pa.StructArray.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())], ["lang", "score", "margin"],
+            )
 
     got = docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), guess(text_col).alias("_g"))
-    return got.select(id_col, "held_out", F.col("_g.lang").alias("lang_pred"), F.col("_g.score").alias("score"), F.col("_g.margin").alias("margin"), ((F.col("_g.lang") != UNKNOWN) & (F.col("_g.margin") < min_margin)).alias("rejected"))
+    return got.select(
+        id_col, "held_out", F.col("_g.lang").alias("lang_pred"), F.col("_g.score").alias("score"), F.col("_g.margin").alias("margin"),
+        ((F.col("_g.lang") != UNKNOWN) & (F.col("_g.margin") < min_margin)).alias("rejected"),
+    )

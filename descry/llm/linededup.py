@@ -90,7 +90,10 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
                 down = F.lit(1) - F.shiftright(d, top)
                 last = m - 1 - j + edits
                 value = s["d"] + F.when(j < m - edits, down).otherwise(bit(hp, last) - bit(hn, last))
-                return F.struct(hn.bitwiseOR(F.bitwise_not(F.shiftright(d, 1).bitwiseOR(hp))).bitwiseAND(F.lit(full)).alias("vp"), F.shiftright(d, 1).bitwiseAND(hp).alias("vn"), value.alias("d"))
+                return F.struct(
+                    hn.bitwiseOR(F.bitwise_not(F.shiftright(d, 1).bitwiseOR(hp))).bitwiseAND(F.lit(full)).alias("vp"),
+                    F.shiftright(d, 1).bitwiseAND(hp).alias("vn"), value.alias("d"),
+                )
 
             return let(d0, with_d0)
 
@@ -139,7 +142,9 @@ def untagged(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, t, i, line, h, h2): distinct lines of each text; t tells texts apart, (h, h2) lines."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(tagged(F.col(text_col))).alias("i", "line")).where(~F.col("line").contains("\n"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(tagged(F.col(text_col))).alias("i", "line"),
+    ).where(~F.col("line").contains("\n"))
     return rows.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -170,7 +175,9 @@ def met(lines: DataFrame, sample: DataFrame, edits: int, level: int = 1) -> Data
     out = dealt.where(F.spark_partition_id() >= 0).join(shared.hint("shuffle_hash"), "key", "left_semi")
     if hot is None:
         return out
-    without = lambda some: keyed(some).join(F.broadcast(hot), "key").select("h", F.col("rest").alias("line"), F.char_length("rest").alias("size"), F.col("key").alias("on"), F.col("index").alias("indexed"))
+    without = lambda some: keyed(some).join(F.broadcast(hot), "key").select(
+        "h", F.col("rest").alias("line"), F.char_length("rest").alias("size"), F.col("key").alias("on"), F.col("index").alias("indexed"),
+    )
     return out.unionByName(met(without(lines), without(sample), edits, level + 1))
 
 
@@ -225,7 +232,9 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_c
     found = beside(rows, marks, ["h", "h2"] + ["salt"] * (n > 250_000), "inner", n)
     same = F.col("owner").isNotNull() & ~F.col("id").eqNullSafe(F.col("owner"))
     found = found.select("id", "t", "i", F.col("near"), same.alias("same")).where("near or same")
-    return found.groupBy("id", "t").agg(F.collect_set("i").alias("gone"), F.count_if("same").alias("n_same"), F.count_if(F.col("near") & ~F.col("same")).alias("n_near"))
+    return found.groupBy("id", "t").agg(
+        F.collect_set("i").alias("gone"), F.count_if("same").alias("n_same"), F.count_if(F.col("near") & ~F.col("same")).alias("n_near"),
+    )
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,7 +248,10 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.coalesce("gone", F.array().cast("array<int>")))
         return F.transform(places, lambda i: untagged(F.get(all_lines, i)))
 
-    return both.select("row", let(tagged(text), kept).alias("lines"), F.size(F.split(text, "\n")).alias("n_lines"), F.coalesce("n_same", F.lit(0)).alias("n_same"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return both.select(
+        "row", let(tagged(text), kept).alias("lines"), F.size(F.split(text, "\n")).alias("n_lines"), F.coalesce("n_same", F.lit(0)).alias("n_same"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+    )
 
 
 def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,10 +259,15 @@ def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_c
     done = deduplicate(docs.select(id_col, text_col), edits, min_chars, id_col, text_col)
     empty = F.col("row")[text_col].isNull()
     n = lambda x: F.when(empty, 0).otherwise(x).cast("long")
-    return done.select(F.col("row")[id_col].alias(id_col), n(F.col("n_lines")).alias("n_lines"), n(F.size("lines")).alias("n_kept"), "n_same", "n_near", F.sha2(F.coalesce(F.array_join("lines", "\n"), F.lit("")), 256).alias("kept_sha256"))
+    return done.select(
+        F.col("row")[id_col].alias(id_col), n(F.col("n_lines")).alias("n_lines"), n(F.size("lines")).alias("n_kept"), "n_same", "n_near",
+        F.sha2(F.coalesce(F.array_join("lines", "\n"), F.lit("")), 256).alias("kept_sha256"),
+    )
 
 
-def rewrite(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+def rewrite(
+    docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars",
+) -> DataFrame:
     """`docs` with the kept lines as text. A document that loses every line, all of which stand elsewhere, goes; one without any text stays as it is."""
     old = F.col("row")[text_col]
     done = deduplicate(docs, edits, min_chars, id_col, text_col).where(old.isNull() | (F.size("lines") > 0))

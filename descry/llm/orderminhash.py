@@ -54,7 +54,9 @@ def numbered(packed: Column) -> Column:
     def before(x: Column, j: Column) -> Column:
         """Equal k-mers that stand before place j of the sorted array: a search by halves, only where there are any."""
         steps = F.sequence(F.ceil(F.log2(F.size(packed) + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
-        grow = lambda acc, b: F.when((j - acc - power(b) >= 0) & same(F.get(packed, F.greatest(j - acc - power(b), F.lit(0))), x), acc + power(b)).otherwise(acc)
+        grow = lambda acc, b: F.when(
+            (j - acc - power(b) >= 0) & same(F.get(packed, F.greatest(j - acc - power(b), F.lit(0))), x), acc + power(b),
+        ).otherwise(acc)
         return F.when((j > 0) & same(F.get(packed, F.greatest(j - 1, F.lit(0))), x), F.aggregate(steps, F.lit(0), grow)).otherwise(F.lit(0))
 
     return F.sort_array(F.transform(packed, lambda x, j: pack(F.xxhash64(F.shiftright(x, PLACE), before(x, j)), x)))
@@ -76,7 +78,10 @@ def sketches(ranked: Column) -> Column:
     steps = F.sequence(F.ceil(F.log2(n + F.lit(1))).cast("int"), F.lit(0), F.lit(-1))
 
     def sketch(start: Column) -> Column:
-        first = F.aggregate(steps, F.lit(0), lambda acc, b: F.when((acc + power(b) <= n) & (F.get(ranked, F.least(acc + power(b), n) - 1) < start), acc + power(b)).otherwise(acc))
+        first = F.aggregate(
+            steps, F.lit(0), lambda acc,
+            b: F.when((acc + power(b) <= n) & (F.get(ranked, F.least(acc + power(b), n) - 1) < start), acc + power(b)).otherwise(acc),
+        )
         pair = let(first, lambda i: F.struct(F.get(ranked, F.pmod(i, n)).alias("a"), F.get(ranked, F.pmod(i + 1, n)).alias("b")))
 
         def tuple_of(p: Column) -> Column:
@@ -98,7 +103,9 @@ def fingerprint(text: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of sketches that agree, 0 to 1."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(M - 1)), lambda i: F.substring(a, i * 4 + 1, F.lit(4)) == F.substring(b, i * 4 + 1, F.lit(4)))) / F.lit(float(M))
+    return F.size(
+        F.filter(F.sequence(F.lit(0), F.lit(M - 1)), lambda i: F.substring(a, i * 4 + 1, F.lit(4)) == F.substring(b, i * 4 + 1, F.lit(4)))
+    ) / F.lit(float(M))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, make: Callable[[Column], Column]) -> DataFrame:
@@ -115,21 +122,31 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, make: Callable[[Colum
     bounds = sorted(set(bounds))
     edges, many = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), len(bounds)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(many.bit_length()))]).cast("array<int>")
-    found = lambda acc, step: F.when((acc + step <= many) & (F.get(edges, F.least(acc + step, F.lit(max(many, 1))) - 1) <= F.col("_id")), acc + step).otherwise(acc)
+    found = lambda acc, step: F.when(
+        (acc + step <= many) & (F.get(edges, F.least(acc + step, F.lit(max(many, 1))) - 1) <= F.col("_id")), acc + step,
+    ).otherwise(acc)
     zone = (-F.aggregate(steps, F.lit(0), found)).alias("_zone")  # how many bounds the id reaches, by halves; ascending zones hold descending ids
-    base = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).select("_id", "_text", F.when(F.col("_id").isNull(), 1).otherwise(zone).alias("_zone"))
+    base = docs.select(
+        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+    ).select("_id", "_text", F.when(F.col("_id").isNull(), 1).otherwise(zone).alias("_zone"))
     order = [F.col("_id").desc_nulls_last(), F.xxhash64("_text"), F.col("_text")]
     tops = base.select("_zone", "_id").groupBy("_zone").agg(F.max("_id").alias("_id")).collect()
     tops_df = spark.createDataFrame([(z, i) for z, i in tops], "_zone int, _top long")
-    heads = base.join(F.broadcast(tops_df), "_zone").where(F.col("_id").eqNullSafe(F.col("_top"))).withColumn("_nth", F.row_number().over(Window.partitionBy("_zone").orderBy(*order[1:]))).where("_nth = 1")
+    heads = base.join(F.broadcast(tops_df), "_zone").where(F.col("_id").eqNullSafe(F.col("_top"))).withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("_zone").orderBy(*order[1:])),
+    ).where("_nth = 1")
     zones = sorted(z for z, _ in tops)
     follows = {z: zones[(i + 1) % len(zones)] for i, z in enumerate(zones)}
     after = spark.createDataFrame([(b, a) for a, b in follows.items()] or [(0, 0)], "_zone int, _before int")
-    heads = heads.join(F.broadcast(after), "_zone").select(F.col("_before").alias("_zone"), F.col("_text").alias("_head"), make(F.col("_text")).alias("_head_made"))
+    heads = heads.join(F.broadcast(after), "_zone").select(
+        F.col("_before").alias("_zone"), F.col("_text").alias("_head"), make(F.col("_text")).alias("_head_made"),
+    )
     dealt = base.repartition("_zone").withColumn("_made", make(F.col("_text")))
     row = Window.partitionBy("_zone").orderBy(*order)
     beside = dealt.select("*", F.lead("_text").over(row).alias("_next"), F.lead("_made").over(row).alias("_next_made"))
-    return beside.join(heads.hint("merge"), "_zone", "left").select("_id", "_text", "_made", F.coalesce("_next", "_head").alias("_next"), F.coalesce("_next_made", "_head_made").alias("_next_made"))
+    return beside.join(heads.hint("merge"), "_zone", "left").select(
+        "_id", "_text", "_made", F.coalesce("_next", "_head").alias("_next"), F.coalesce("_next_made", "_head_made").alias("_next_made"),
+    )
 
 
 def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,5 +159,11 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.col("_next"), F.lit(1), half))
     made = let(edited, lambda t: F.struct(F.sha2(t, 256).alias("sha"), fingerprint(t).alias("fp")))
-    out = pairs.select(F.col("_id").alias(id_col), n.cast("long").alias("n_chars"), "_made", "_next_made", let(made, lambda e: F.struct(e["sha"].alias("sha"), e["fp"].alias("fp"))).alias("_e"))
-    return out.select(id_col, "n_chars", F.col("_e.sha").alias("edited_sha256"), F.col("_made").alias("fingerprint"), F.col("_e.fp").alias("edited_fingerprint"), likeness(F.col("_made"), F.col("_e.fp")).alias("near_edited"), likeness(F.col("_made"), F.col("_next_made")).alias("near_next"))
+    out = pairs.select(
+        F.col("_id").alias(id_col), n.cast("long").alias("n_chars"), "_made", "_next_made",
+        let(made, lambda e: F.struct(e["sha"].alias("sha"), e["fp"].alias("fp"))).alias("_e"),
+    )
+    return out.select(
+        id_col, "n_chars", F.col("_e.sha").alias("edited_sha256"), F.col("_made").alias("fingerprint"), F.col("_e.fp").alias("edited_fingerprint"),
+        likeness(F.col("_made"), F.col("_e.fp")).alias("near_edited"), likeness(F.col("_made"), F.col("_next_made")).alias("near_next"),
+    )

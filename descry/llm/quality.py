@@ -95,7 +95,10 @@ def train(rows: list[tuple[str, int]], prior: float, filters: int = 24, epochs:
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.5, (256, DIM)).astype(np.float32)
     embed[0] = 0
-    net = Net(embed, (rng.normal(0, 1, (WIDTH * DIM, filters)) / np.sqrt(WIDTH * DIM) * 1.5).astype(np.float32), np.zeros(filters, np.float32), np.append(rng.normal(0, 0.1, 2 * filters), 0).astype(np.float32))
+    net = Net(
+        embed, (rng.normal(0, 1, (WIDTH * DIM, filters)) / np.sqrt(WIDTH * DIM) * 1.5).astype(np.float32), np.zeros(filters, np.float32),
+        np.append(rng.normal(0, 0.1, 2 * filters), 0).astype(np.float32),
+    )
     ys = np.array([y for _, y in rows], np.float32)
     if not len(ys) or ys.min() == ys.max():
         share = float(ys.mean()) if len(ys) else prior
@@ -155,7 +158,10 @@ def train(rows: list[tuple[str, int]], prior: float, filters: int = 24, epochs:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Net:
+def fit(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, folds: int = 4, held: int = 2, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Net:
     """Fit on at most `per_class` labelled texts of each class outside the held-out fold; the prior counts all labels outside it."""
     where = fold(id_col, folds) != held
     prior = labels.where(where).agg(F.avg(F.col(label).cast("double"))).first()[0]
@@ -180,7 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
     small_batches(docs.sparkSession)
     net = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     held, folds = options.get("held", 2), options.get("folds", 4)
-    return docs.select(id_col, (fold(id_col, folds) == held).alias("held_out"), score_column(net, F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.select(
+        id_col, (fold(id_col, folds) == held).alias("held_out"), score_column(net, F.col(text_col)).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text", **options) -> DataFrame:

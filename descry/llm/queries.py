@@ -79,6 +79,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe, "op8_simhash": op8_simhash, "op6_url_filter": op6_url_filter, "op7_order_minhash": op7_order_minhash, "op5_line_dedup": op5_line_dedup, "op10_decontaminate": op10_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality, "op2_toxicity": op2_toxicity, "op3_language": op3_language, "op4_token_counts": op4_token_counts, "op9_bpe": op9_bpe,
+    "op8_simhash": op8_simhash, "op6_url_filter": op6_url_filter, "op7_order_minhash": op7_order_minhash, "op5_line_dedup": op5_line_dedup,
+    "op10_decontaminate": op10_decontaminate,
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -77,7 +77,9 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
-def leaves(fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int, leaf: int = LEAF, pruned: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def leaves(
+    fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int, leaf: int = LEAF, pruned: list[int] | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The leaves of a vantage-point tree: places of `fp` (rows of words) of the members, and of the guests that can be within `radius` of one.
 
     Of two members in different leaves, one is a guest of the other's leaf unless a boundary tells that they are farther apart.
@@ -101,7 +103,9 @@ def leaves(fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int, lea
     yield from leaves(fp, outer, out_guests, radius, leaf, pruned)
 
 
-def links(fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int = RADIUS, pruned: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def links(
+    fp: np.ndarray, own: np.ndarray, guests: np.ndarray, radius: int = RADIUS, pruned: list[int] | None = None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within `radius` among the members `own`, and between them and `guests`."""
     for a, b in leaves(fp, own, guests, radius, LEAF, pruned):
         yield from _scan(fp, a, b, radius)

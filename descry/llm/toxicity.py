@@ -92,7 +92,10 @@ class Model:
         order = np.argsort(slot, kind="stable")
         most = int(np.bincount(slot).max()) if len(h) else 0
         pad = np.zeros(most, np.uint64)
-        return cls(np.append(h[order], pad), np.append(np.asarray(values, np.int8)[order], pad.astype(np.int8)), np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32), most)
+        return cls(
+            np.append(h[order], pad), np.append(np.asarray(values, np.int8)[order], pad.astype(np.int8)),
+            np.searchsorted(slot[order], np.arange((1 << bits) + 1)).astype(np.int32), most,
+        )
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value, whether it is known) of each hash."""
@@ -171,11 +174,16 @@ def shared(counts: DataFrame) -> DataFrame:
     for size, now in zip(range(1, ORDER), reversed(orders[1:]), strict=True):
         group = Window.partitionBy(F.substring("gram", 1, size - 1))
         total, types = F.sum("n").over(group), F.count("*").over(group)
-        rows = now.select("gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / total).alias("own"), (DISCOUNT * types / total).alias("back"), (1.0 / (types + 1)).alias("even"))
+        rows = now.select(
+            "gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / total).alias("own"), (DISCOUNT * types / total).alias("back"),
+            (1.0 / (types + 1)).alias("even"),
+        )
         if lower is None:
             lower = rows.select("gram", (F.col("own") + F.col("back") * F.col("even")).alias("p"))
         else:
-            lower = rows.join(lower.withColumnRenamed("gram", "_tail"), tail(F.col("gram"), size - 1) == F.col("_tail")).select("gram", (F.col("own") + F.col("back") * F.col("p")).alias("p"))
+            lower = rows.join(
+                lower.withColumnRenamed("gram", "_tail"), tail(F.col("gram"), size - 1) == F.col("_tail"),
+            ).select("gram", (F.col("own") + F.col("back") * F.col("p")).alias("p"))
     return lower
 
 
@@ -249,7 +257,9 @@ def joined_features(docs: DataFrame, model: DataFrame, names: list[str], text_co
 
     asked = dealt.select("_bundle", "_text").mapInArrow(ask, "_bundle long, gram string").distinct()
     asked = asked.unionByName(asked.select("_bundle", F.substring("gram", 1, ORDER - 1).alias("gram")).distinct())
-    answers = asked.join(model, "gram").select("_bundle", F.lit(0).alias("_kind"), F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), F.col("gram").alias("_text"), "value")
+    answers = asked.join(model, "gram").select(
+        "_bundle", F.lit(0).alias("_kind"), F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), F.col("gram").alias("_text"), "value",
+    )
     rows = answers.unionByName(dealt.select("_bundle", F.lit(1).alias("_kind"), "_row", "_text", F.lit(None).cast("tinyint").alias("value")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +286,9 @@ def joined_features(docs: DataFrame, model: DataFrame, names: list[str], text_co
     return got.select("_row.*", "mean", "best")
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, model: DataFrame, prior: float, label: str, where: Column, tune_rows: int, id_col: str, text_col: str) -> np.ndarray:
+def fit_weights(
+    docs: DataFrame, labels: DataFrame, model: DataFrame, prior: float, label: str, where: Column, tune_rows: int, id_col: str, text_col: str,
+) -> np.ndarray:
     """Weights of the mean, of the best window and of 1, from at most `tune_rows` texts of each class by a hash of the id."""
     spark = docs.sparkSession
     known = known_labels(labels, label, where, id_col)
@@ -295,7 +307,10 @@ def fit_weights(docs: DataFrame, labels: DataFrame, model: DataFrame, prior: flo
     return np.array([w[0] * 10, w[1] * 10, w[2] + odds - np.log(y.mean() / (1 - y.mean()))])
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", folds: int = 5, held: int = 0, tune: int = 1, tune_rows: int = 600, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label: str = "toxic", folds: int = 5, held: int = 0, tune: int = 1,
+    tune_rows: int = 600, id_col: str = "doc_id", text_col: str = "text", most: int = MOST,
+) -> DataFrame:
     """(id, held_out, score, predicted) for every row. Counts come from every labelled row outside the folds `held` and `tune`."""
     small_batches(docs.sparkSession)
     checkpoint_dir(docs.sparkSession)

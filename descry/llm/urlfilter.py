@@ -69,18 +69,29 @@ def walk(edges: DataFrame, seeds: DataFrame, src: str, dst: str, damping: float
     nothing = F.lit(0.0)
     while True:
         moved = share.join(rank, share["a"] == rank["host"]).groupBy("b").agg((damping * F.sum(F.col("p") * F.col("rank"))).alias("rank")).select(F.col("b").alias("host"), "rank", nothing.alias("was"))
-        rows = moved.unionByName(start.select("host", "rank", nothing.alias("was"))).unionByName(rank.select("host", nothing.alias("rank"), F.col("rank").alias("was")))
-        rank = cut(rows.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).select("host", "rank", F.abs(F.col("rank") - F.col("was")).alias("move")))
+        rows = moved.unionByName(start.select("host", "rank", nothing.alias("was"))).unionByName(
+            rank.select("host", nothing.alias("rank"), F.col("rank").alias("was"))
+        )
+        rank = cut(
+            rows.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).select(
+                "host", "rank", F.abs(F.col("rank") - F.col("was")).alias("move"),
+            )
+        )
         if (rank.agg(F.max("move")).first()[0] or 0.0) <= tolerance:
             break
     both = rank.agg(F.sum("rank")).first()[0], seeds.agg(F.sum("weight")).first()[0]
     return rank.select("host", (F.col("rank") * F.lit((both[1] or 0.0) / (both[0] or 1.0))).alias("rank"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = DAMPING, balance: float = 1.0, tolerance: float = TOLERANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(
+    pages: DataFrame, rules: list[tuple[str, str]], damping: float = DAMPING, balance: float = 1.0, tolerance: float = TOLERANCE,
+    id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for every row."""
     url = F.col(url_col)
-    seen = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    seen = pages.select(
+        F.col(id_col).alias("_id"), F.col(html_col).alias("_html"), host_of(url).alias("host"), path_of(url).alias("path"),
+    ).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     urls = seen.drop("_html").withColumn("ruled", verdict_of(F.col("rule"), rules))
     n = F.count("*")
     hosts = cut(urls.groupBy("host").agg((F.count_if(F.col("ruled") == "allow") / n).alias("good"), (F.count_if(F.col("ruled") == "block") / n).alias("bad")))
@@ -95,4 +106,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], damping: float = DAMPI
     salt = F.pmod(F.xxhash64("_id", "path"), F.lit(SALT)).cast("int")
     # what the walks leave undecided counts as equal
     by_host = F.when(F.col("distrust") - balance * F.col("trust") > tolerance / (1 - damping) ** 2, "block").otherwise("allow")
-    return urls.withColumn("_salt", salt).join(salted, ["host", "_salt"]).select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")
+    return urls.withColumn("_salt", salt).join(salted, ["host", "_salt"]).select(
+        F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust",
+    )

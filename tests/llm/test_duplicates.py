@@ -59,7 +59,11 @@ def brute_lines(docs, most=2, least=20):
         for k, x in enumerate(seen):
             if "\n" not in x:
                 first[x] = min(first.get(x, (1 << 60, 0)), (i, k))
-    near = {x for x in first if len(x) >= least and any(y != x and len(y) >= least and abs(len(x) - len(y)) <= most and first[y] < first[x] and edits(x, y) <= most for y in first)}
+    near = {
+        x for x in first if len(x) >= least and any(
+            y != x and len(y) >= least and abs(len(x) - len(y)) <= most and first[y] < first[x] and edits(x, y) <= most for y in first
+        )
+    }
     for i, t in docs:
         out, seen = [], set()
         for x in t.split("\n"):
@@ -78,7 +82,9 @@ def test_line_dedup(spark, often, head, monkeypatch):
     base = [head + "".join(rng.choice("abcdeé ") for _ in range(rng.randint(12, 40))) for _ in range(25)]
     docs = [(i, "\n".join(changed(rng, rng.choice(base), rng.choice([0, 0, 1, 1, 2, 3])) for _ in range(rng.randint(1, 5)))) for i in range(90)]
     want = brute_lines(docs)
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'clash' as line", "0L as n_chars", "'z' as id", "1 as gone", "2 as n_same", "3 as n_near", "4 as row", "5 as lines", "6 as t")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
+        "*", "'clash' as line", "0L as n_chars", "'z' as id", "1 as gone", "2 as n_same", "3 as n_near", "4 as row", "5 as lines", "6 as t",
+    )
     got = {r.doc_id: r for r in linededup.report(frame).collect()}
     assert {i: r.kept_sha256 for i, r in got.items()} == {i: hashlib.sha256("\n".join(x).encode()).hexdigest() for i, x in want.items()}
     assert all(got[i].n_kept == len(x) for i, x in want.items()) and sum(r.n_near for r in got.values()) > 0
@@ -89,7 +95,10 @@ def test_line_dedup(spark, often, head, monkeypatch):
 
 def test_line_dedup_odd_rows(spark):
     long = "a line that is long enough to count"
-    rows = [(1, None), (2, ""), (3, long), (4, long + "\n" + long + "!"), (5, "short\nshort"), (3, long), (None, long), (6, "\n".join(f"line number {i} of a very long text {i * i}" for i in range(3000)))]
+    rows = [
+        (1, None), (2, ""), (3, long), (4, long + "\n" + long + "!"), (5, "short\nshort"), (3, long), (None, long),
+        (6, "\n".join(f"line number {i} of a very long text {i * i}" for i in range(3000))),
+    ]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.n_lines, r.n_kept) for r in linededup.report(frame).collect()]
     assert sorted(got, key=str)[:8] and {g for g in got if g[0] != 6} == {(1, 0, 0), (2, 1, 1), (3, 1, 1), (4, 2, 0), (5, 2, 1), (None, 1, 0)}
@@ -257,7 +266,9 @@ def array_hash(values):
 def test_fingerprints_step_by_step(spark):
     rng = random.Random(2)
     texts = ["", "x", "one two", "a a a a a a", "w" * 50] + [" ".join(rng.choice(["ab", "cd", "the", "é日"]) + str(rng.randrange(9)) for _ in range(rng.randint(1, 80))) for _ in range(30)]
-    got = [r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select(orderminhash.fingerprint(F.col("t")).alias("f")).collect()]
+    got = [
+        r.f for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select(orderminhash.fingerprint(F.col("t")).alias("f")).collect()
+    ]
     assert got == [plain_fingerprint(t) for t in texts]
 
 
@@ -271,7 +282,11 @@ def test_order_matters(spark):
 
 
 def test_url_rules(spark):
-    urls = [None, "", "no scheme", "http://example.com/en/7", "http://EXAMPLE.com/en/70?x", "https://a.example.com/en/8#t", "http://x.net/de/1", "http://example.net/de/8", "http://badexample.net/de/8", "http://b.org/es/1", "http://b.org/en/1", "http://com/en/", "http://h?x://y/z", "ftp://u.com"]
+    urls = [
+        None, "", "no scheme", "http://example.com/en/7", "http://EXAMPLE.com/en/70?x", "https://a.example.com/en/8#t", "http://x.net/de/1",
+        "http://example.net/de/8", "http://badexample.net/de/8", "http://b.org/es/1", "http://b.org/en/1", "http://com/en/", "http://h?x://y/z",
+        "ftp://u.com",
+    ]
     pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: r for r in urlfilter.judge(pages, URL_RULES).collect()}
     verdicts = {rule: v for v, rule in URL_RULES}
@@ -290,7 +305,13 @@ def test_url_rules(spark):
 
 def test_distrust_flows_against_links(spark):
     page = lambda i, host, path, *to: (i, f"http://{host}/{path}", "".join(f'<a href="//{t}/x">' for t in to))
-    pages = spark.createDataFrame([page(1, "bad.com", "en/"), page(2, "farm.io", "a", "bad.com"), page(3, "good.net", "de/", "fine.io"), page(4, "fine.io", "b"), page(5, "alone.io", "c")], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [
+            page(1, "bad.com", "en/"), page(2, "farm.io", "a", "bad.com"), page(3, "good.net", "de/", "fine.io"), page(4, "fine.io", "b"),
+            page(5, "alone.io", "c"),
+        ],
+        "page_id long, url string, html string",
+    )
     got = {r.host: r for r in urlfilter.judge(pages, URL_RULES).collect()}
     assert got["farm.io"].verdict == "block" and got["fine.io"].verdict == "allow" and got["alone.io"].verdict == "allow"
     assert got["fine.io"].trust > 0 and got["farm.io"].distrust > 0

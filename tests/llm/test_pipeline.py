@@ -50,7 +50,9 @@ def test_stages_by_plain_versions(spark, tmp_path):
     from descry.llm import bpe, quality
 
     docs, item = odd_docs(spark)
-    spark.createDataFrame([(k, item if k == 1 else "zzz yyy xxx www vvv uuu") for k in range(2)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(
+        [(k, item if k == 1 else "zzz yyy xxx www vvv uuu") for k in range(2)], "item_id long, text string",
+    ).write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -21,7 +21,10 @@ def tables(spark):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(None, "no id", "x"), (1, None, "x"), (2, "", "x"), (3, "The same.", "x"), (4, "The same.", "x"), (5, "word " * 400_000, "x"), (6, "12 34 !!", "x"), (7, "é" * 70_001, "x")]
+    rows = [
+        (None, "no id", "x"), (1, None, "x"), (2, "", "x"), (3, "The same.", "x"), (4, "The same.", "x"), (5, "word " * 400_000, "x"),
+        (6, "12 34 !!", "x"), (7, "é" * 70_001, "x"),
+    ]
     return spark.createDataFrame(rows, "doc_id long, text string, score string")
 
 
@@ -57,7 +60,10 @@ def test_odd_rows(spark, odd, model):
     """Null ids aren't held out; nulls count as empty; repeated texts score alike; a clashing column is left aside."""
     labels = spark.createDataFrame([(3, 1, 0), (5, 0, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     known = odd.selectExpr("*", "'en' as lang")
-    got = {"quality": lambda: quality.classify(odd, labels), "toxicity": lambda: toxicity.classify(odd, labels), "language": lambda: language.identify(known)}[model]().toPandas()
+    got = {
+        "quality": lambda: quality.classify(odd, labels), "toxicity": lambda: toxicity.classify(odd, labels),
+        "language": lambda: language.identify(known),
+    }[model]().toPandas()
     assert len(got) == 8 and got.score.between(0, 1).all()
     by = got.set_index("doc_id")
     assert by.loc[3, "score"] == by.loc[4, "score"] and not got[got.doc_id.isna()].held_out.iloc[0]
@@ -87,7 +93,10 @@ def plain_score(net, text):
 
 def test_network_byte_by_byte(monkeypatch):
     rng = np.random.default_rng(3)
-    net = quality.Net(rng.normal(size=(256, quality.DIM)).astype(np.float32), rng.normal(size=(quality.WIDTH * quality.DIM, 3)).astype(np.float32) / 9, rng.normal(size=3).astype(np.float32), rng.normal(size=7).astype(np.float32))
+    net = quality.Net(
+        rng.normal(size=(256, quality.DIM)).astype(np.float32), rng.normal(size=(quality.WIDTH * quality.DIM, 3)).astype(np.float32) / 9,
+        rng.normal(size=3).astype(np.float32), rng.normal(size=7).astype(np.float32),
+    )
     net.embed[0] = 0
     texts = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (0, 1, 15, 240, 241, 256, 700, 1300)]
     monkeypatch.setattr(quality, "BLOCK", 512)  # long texts go in pieces
@@ -100,7 +109,10 @@ def test_languages_of_short_or_long_texts_only(spark):
     import random
 
     rng = random.Random(4)
-    words = {"de": "der die das und nicht mit sich auf ein eine".split(), "en": "the and that with this from have they which".split(), "fr": "le la les des une dans pour que qui avec".split()}
+    words = {
+        "de": "der die das und nicht mit sich auf ein eine".split(), "en": "the and that with this from have they which".split(),
+        "fr": "le la les des une dans pour que qui avec".split(),
+    }
     say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))[:n * 4]
     rows = [(i, say("de", 8)[:30], "de") for i in range(40)] + [(100 + i, say("en", 80), "en") for i in range(40)] + [(200 + i, say("fr", 10_000), "fr") for i in range(12)]
     got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
@@ -167,7 +179,10 @@ def plain_model(rows):
     return out
 
 
-WILD = ["", "a", "Short TEXT", "a longer text\twith some words in it", "", "zz top", "\u0416\u0443\u0440 \u0436\u0443\u0440 \u65e5\u672c\u8a9e", "\u0130stanbul \U0001f914\U0001f914 e\u0301", None]
+WILD = [
+    "", "a", "Short TEXT", "a longer text\twith some words in it", "", "zz top", "\u0416\u0443\u0440 \u0436\u0443\u0440 \u65e5\u672c\u8a9e",
+    "\u0130stanbul \U0001f914\U0001f914 e\u0301", None,
+]
 
 
 def test_kneser_ney_by_dictionaries(spark):

@@ -15,7 +15,10 @@ MODEL, RANKS, PATTERN = public_tokenizers.path("piece_bpe_32k.model"), public_to
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(5)
-    out = [None, "", " ", "  a   b\n\n\t x", "a" * 700, " " * 400, "http://foo.bar/" * 60, "日本語テキスト 🤔🤔 é ﬁ", "<s> </s> <unk> <0x0A> <|endoftext|>", "▁▁ x ▁", "\u0000abc", "same", "same", "word1 " * 30_000, "x1y2" * 20_000]
+    out = [
+        None, "", " ", "  a   b\n\n\t x", "a" * 700, " " * 400, "http://foo.bar/" * 60, "日本語テキスト 🤔🤔 é ﬁ", "<s> </s> <unk> <0x0A> <|endoftext|>",
+        "▁▁ x ▁", "\u0000abc", "same", "same", "word1 " * 30_000, "x1y2" * 20_000,
+    ]
     out += ["".join(rng.choice("abcde \n\té日ab the in on 0123=-_/\\{}'sS") for _ in range(rng.randint(1, 300))) for _ in range(300)]
     return out
 

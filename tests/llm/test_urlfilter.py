@@ -61,7 +61,10 @@ def test_distrust_reaches_the_end_of_a_chain(spark):
 
 def test_odd_pages(spark):
     long = "http://long.io/" + "x" * 300_000
-    rows = [(1, long, "<a href='http://bad.com/en/'>" * 20_000), (1, long, None), (2, "http://bad.com/en/1", ""), (2, "http://bad.com/en/1", ""), (None, None, None)]
+    rows = [
+        (1, long, "<a href='http://bad.com/en/'>" * 20_000), (1, long, None), (2, "http://bad.com/en/1", ""), (2, "http://bad.com/en/1", ""),
+        (None, None, None),
+    ]
     pages = spark.createDataFrame([(*r, "h", "r", 1, 2) for r in rows], "page_id long, url string, html string, host string, rule string, trust int, _id int")
     got = urlfilter.judge(pages, URL_RULES).collect()
     assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "allow"), (1, "block"), (1, "block"), (2, "block"), (2, "block")]
