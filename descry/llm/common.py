@@ -73,11 +73,11 @@ def sampled(
 ) -> list[tuple[str, int]]:
     """At most `per_class` labelled texts of each class, chosen by a hash of the id, for fitting on the driver.
 
-    `where` restricts the ids (a fold). Texts beyond `max_bytes` aren't used for fitting.
+    `where` restricts the ids (a fold). Of an id's conflicting labels the larger one counts. Texts beyond `max_bytes` aren't used for fitting.
     Only ids and labels are sorted; the texts are then read once with a broadcast of the chosen ids (at most 2 x per_class).
     """
     spark = docs.sparkSession
-    known = labels.where(where & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("_label")).dropDuplicates([id_col])
+    known = labels.where(where & F.col(id_col).isNotNull()).select(id_col, F.col(label).cast("int").alias("_label")).groupBy(id_col).agg(F.max("_label").alias("_label"))
     picked = None
     for c in (0, 1):
         part = known.where(F.col("_label") == c).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(per_class)
