@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from descry.llm.common import beside, checkpoint_dir, cut
 
 EDITS, MIN_CHARS, LEVELS = 2, 20, 3
-#: About so many documents are looked at for hot keys, which are in OFTEN of their lines at least (at most some ten thousand keys).
-SAMPLE, OFTEN = 4000, 20
-#: A line is heavy if it is so large a share of all lines; there are at most 1 / HEAVY of them.
+#: About so many documents are looked at for hot keys, which are in OFTEN of their lines at least, and at most MOST_HOT keys.
+SAMPLE, OFTEN, MOST_HOT = 4000, 20, 100_000
+#: A line is heavy if it is so large a share of all repeated lines; there are at most 1 / HEAVY of them.
 HEAVY = 1e-4
 #: Letters whose numbers are compared before the lines are: an edit changes them by two at most, together.
 LETTERS = ["e", "t", "a", "o", "i", "n", "s", "hr"]
@@ -149,8 +149,10 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent(keyed: DataFrame) -> DataFrame:
-    """(key): those in at least OFTEN rows of a sample's keys; as few as the sample is bounded."""
-    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("key")
+    """(key, n): those in at least OFTEN rows of a sample's keys, or in a share of them that at most MOST_HOT keys can have."""
+    keyed = cut(keyed.groupBy("key").agg(F.count("*").alias("n")))
+    least = max(OFTEN, -(-(keyed.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
+    return keyed.where(F.col("n") >= least).select("key")
 
 
 def met(lines: DataFrame, sample: DataFrame, edits: int, level: int = 1) -> DataFrame:
@@ -215,9 +217,9 @@ def decide(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_c
     checkpoint_dir(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
     repeated = cut(lines.groupBy("h", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1"))
-    n_docs = docs.count()
-    every = max(1, n_docs // SAMPLE)
-    heavy = repeated.where(F.col("n") >= F.lit(max(2.0, HEAVY * n_docs))).select("h", "h2", F.col("owner").alias("_first"))
+    every = max(1, docs.count() // SAMPLE)
+    all_repeated = repeated.agg(F.sum("n")).first()[0] or 0
+    heavy = repeated.where(F.col("n") >= F.lit(HEAVY * all_repeated)).select("h", "h2", F.col("owner").alias("_first"))
     once = lines.where(F.char_length("line") >= min_chars).join(F.broadcast(heavy), ["h", "h2"], "left").where(F.col("_first").isNull() | F.col("id").eqNullSafe(F.col("_first"))).drop("_first")
     few = F.pmod(F.xxhash64(F.lit(7), F.col(id_col), F.xxhash64(text_col)), F.lit(every)) == 0
     sample = lines_of(docs.where(few), id_col, text_col).where(F.char_length("line") >= min_chars).dropDuplicates(["h", "h2"])
