@@ -251,6 +251,23 @@ def plain_fingerprint(text):
     return out
 
 
+def test_order_of_repeated_and_null_ids(spark):
+    """Rows that share an id follow each other by the hash of their texts, null ids come last; a text of a megabyte goes like any other."""
+    long = " ".join(f"tok{i % 1009}" for i in range(150_000))
+    rows = [(5, "b b b"), (5, "a a a"), (5, "b b b"), (None, "n n"), (None, None), (7, long), (-3, "x"), (2**62, ""), (0, "zero é日")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _zone", "2 as near_next")
+    got = orderminhash.compare(frame).collect()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        t, after = t or "", after or ""
+        half = len(t) // 2
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    assert orderminhash.compare(frame.limit(0)).count() == 0
+
+
 class Small(int):
     """An int of four bytes."""
 
