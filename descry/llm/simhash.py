@@ -5,8 +5,8 @@ Random fingerprints lie around 32 bits apart, all about as far from any vantage
 prune nothing at the top of one tree over all of them (see README). The shards therefore begin with a bound that does prune:
 of BLOCKS blocks of bits, two fingerprints within RADIUS = 3 bits agree on at least BLOCKS - 3 whole ones, so each fingerprint
 goes to a shard for every choice of BLOCKS - 3 blocks. Within a shard, a vantage-point tree splits by Hamming distance, and
-members within the radius of a boundary visit the other side. Shards above HOT members are first dealt over rings around a
-vantage point in Spark, with the same visits. A shard passes on only a spanning forest of its links, and components are found
+members within the radius of a boundary visit the other side. Shards above HOT members are first dealt over the cells between rings
+around two vantage points in Spark, with the same visits. A shard passes on only a spanning forest of its links, and components are found
 over distinct fingerprints, so that thousands of copies cost one row.
 
 Nulls, empty texts and texts without words have fingerprint zero, and link like any other. Repeated rows share a component.
@@ -198,13 +198,16 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edges(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """(u, v) over distinct fingerprints (column fp): enough of the links within RADIUS to connect what they connect."""
     rows = distinct.select("fp", F.explode(shard_keys(F.col("fp"))).alias("shard"))
-    sizes = cut(rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where("n > 1"))
-    large = sizes.where(F.col("n") > hot)
+    sizes = cut(rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("_p"), F.max("fp").alias("_q")).where("n > 1"))
     plain = rows.join(sizes.where(F.col("n") <= hot).select("shard"), "shard", "left_semi").select("shard", F.lit(False).alias("guest"), "fp")
-    # hot shards: a ring for each distance from the vantage point; a member visits the RADIUS rings below its own
-    ring = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-    rings = rows.join(large, "shard").select("fp", "shard", F.explode(F.sequence(ring - RADIUS, ring)).alias("at"), ring.alias("home")).where("at >= 0")
-    rings = rings.select(F.xxhash64("shard", "at").alias("shard"), (F.col("at") != F.col("home")).alias("guest"), "fp")
+    # hot shards: a cell for each pair of distances from two vantage points. A member is at home in one, and visits those that are up to RADIUS
+    # below its own from the first point, and as far on either side from the second: a pair meets where the end nearer to the first one is at home
+    ring = lambda v: F.bit_count(F.col("fp").bitwiseXOR(F.col(v)))
+    homes = rows.join(sizes.where(F.col("n") > hot), "shard").select("fp", "shard", ring("_p").alias("p"), ring("_q").alias("q"))
+    cells = homes.withColumn("at_p", F.explode(F.sequence(F.greatest(F.col("p") - RADIUS, F.lit(0)), "p")))
+    cells = cells.withColumn("at_q", F.explode(F.sequence(F.col("q") - RADIUS, F.col("q") + RADIUS)))
+    rings = cells.select(F.xxhash64("shard", "at_p", "at_q").alias("shard"), (F.col("at_p") != F.col("p")) | (F.col("at_q") != F.col("q")), "fp")
+    rings = rings.toDF("shard", "guest", "fp")
     dealt = plain.unionByName(rings).repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(by_shard, "u long, v long")
 
