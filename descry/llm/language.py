@@ -56,6 +56,7 @@ def gather(docs: DataFrame, lang_col: str, text_col: str, id_col: str, where, ma
 
     Texts come by a hash of the id, at most CANDIDATES a language, those of 200 to `max_bytes` bytes first; shorter and longer ones fill up.
     """
+    docs = docs.select(id_col, lang_col, text_col)
     known = docs.where(where & F.col(lang_col).isNotNull() & F.regexp_like(text_col, F.lit(r"\p{L}")))
     size = F.octet_length(text_col)
     known = known.select(
