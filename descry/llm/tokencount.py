@@ -247,7 +247,7 @@ def powers(n: int) -> list[np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x5851F42D4C957F2D
         inverse = pow(base, -1, 1 << 64)
-        size = max(n, 3 * BLOCK)
+        size = max(1 << 16, 1 << (n - 1).bit_length())  # the driver, which looks at a few texts only, keeps it small
         rows = np.ones((2, size), np.uint64)
         rows[0, 1:], rows[1, 1:] = base, inverse
         _POWERS[:] = list(np.cumprod(rows, axis=1, dtype=np.uint64))
