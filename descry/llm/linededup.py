@@ -5,7 +5,7 @@ at least MIN_CHARS characters also if an earlier line is within EDITS edits of i
 
 Two lines within EDITS edits share at least one of EDITS + 1 segments of the shorter one, shifted by a bounded offset. So each
 line is indexed under its segments, and probes those of lines as long or up to EDITS shorter at every offset that the
-lengths leave open (12 keys a line for two edits). Only keys under which an indexed line meets a different one are looked at again; their
+lengths leave open (7 or 8 keys a line for two edits). Only keys under which an indexed line meets a different one are looked at again; their
 lines are compared by a banded bit-parallel edit distance in a semi join, whose output stays linear in the number of lines.
 
 Hot keys and lines: keys that are frequent in a sample of documents (a common beginning of many lines) are no place to compare lines.
@@ -37,28 +37,42 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """`lines` (line, size, ...) with (key, index, rest): a row for each own segment (index) and for each shifted one that a line probes; rest is the line without it.
+def spots(rest: int, edits: int) -> list[tuple[int, int, int, bool]]:
+    """(part, begin, width, index) of the windows of a line of parts * k + rest characters; begin counts from k * part, width from k.
 
-    The places are a short literal array that is exploded, so that one small expression makes all keys. A window that leaves the line is no probe.
+    A window is an own segment (index) or a segment, shifted by as much as the lengths leave open, of a line up to `edits` shorter. Several
+    lengths can ask for one window: the length isn't part of the key, so that it is looked up once, and candidates' lengths are compared later.
     """
-    parts = edits + 1
-    spots = []
+    parts, k, out = edits + 1, 1 << 20, {}
     for less in range(parts):
+        base, more = divmod(k * parts + rest - less, parts)
         for i in range(parts):
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            spots += [(less, i, shift) for shift in range(low, high + 1)]
-    places = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("part"), F.lit(shift).alias("shift")) for less, i, shift in spots])
-    rows = lines.select("*", F.inline(places))
-    n = F.col("size") - F.col("less")  # the length of the lines that it looks for
-    base, more = F.call_function("div", n, F.lit(parts)).cast("int"), n % parts
-    # the last `more` segments have one character more
-    begin = base * F.col("part") + F.greatest(more - (F.lit(parts) - F.col("part")), F.lit(0)) + F.col("shift")
-    width = base + (F.col("part") >= F.lit(parts) - more).cast("int")
-    rows = rows.withColumns({"_n": n, "_begin": begin, "_width": width}).where((F.col("_begin") >= 0) & (F.col("_begin") + F.col("_width") <= F.col("size")))
-    key = F.xxhash64("part", "_n", F.substring(F.col("line"), F.col("_begin") + 1, F.col("_width")))
+            # the last `more` segments have one character more
+            begin, width = base * i + max(more - (parts - i), 0), base + (i >= parts - more)
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                window = i, begin + shift - k * i, width - k
+                out[window] = out.get(window, False) or (less == 0 and shift == 0)
+    return [(*window, index) for window, index in out.items()]
+
+
+def keys(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """`lines` (line, size, ...) with (key, index, rest): a row for each window that is a segment (index) or a probe; rest is the line without it.
+
+    The places are short literal arrays that are exploded, so that one small expression makes all keys. A window that leaves the line is no probe.
+    """
+    parts = edits + 1
+    k, more = F.call_function("div", F.col("size"), F.lit(parts)).cast("int"), F.col("size") % parts
+    names = ("part", "_from", "_more", "index")
+    places = [F.array(*[F.struct(*[F.lit(x).alias(name) for x, name in zip(spot, names, strict=True)]) for spot in spots(r, edits)]) for r in range(parts)]
+    chosen = places[0]
+    for r in range(1, parts):
+        chosen = F.when(more == r, places[r]).otherwise(chosen)
+    rows = lines.select("*", k.alias("_k"), F.inline(chosen))
+    rows = rows.withColumns({"_begin": F.col("_k") * F.col("part") + F.col("_from"), "_width": F.col("_k") + F.col("_more")})
+    rows = rows.where((F.col("_begin") >= 0) & (F.col("_begin") + F.col("_width") <= F.col("size")))
+    key = F.xxhash64("part", F.substring(F.col("line"), F.col("_begin") + 1, F.col("_width")))
     rest = F.concat(F.substring(F.col("line"), F.lit(1), F.col("_begin")), F.substring(F.col("line"), F.col("_begin") + F.col("_width") + 1, F.col("size")))
-    return rows.withColumns({"key": key, "index": (F.col("less") == 0) & (F.col("shift") == 0), "rest": rest}).drop("less", "part", "shift", "_n", "_begin", "_width")
+    return rows.withColumns({"key": key, "rest": rest}).drop("part", "_k", "_from", "_more", "_begin", "_width")
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
