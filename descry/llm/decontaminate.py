@@ -2,9 +2,9 @@
 
 Texts are cut into blocks of BLOCK words, and every two neighbouring blocks are a passage. Passages and benchmark items are TF-IDF
 vectors over 2**BITS hashed words, with passage frequencies counted over all documents. A randomised range finder (Halko et al.) with
-power iterations, distributed over the executors, gives the leading right singular vectors of a bounded sample of passages and all items,
-the items weighing ITEMS_WEIGH times as much as the sample; there are fewer of them than items, and words outside the items that go along with theirs in the
-sample count too. Items are scaled to length one in that space. Every passage of every document is compared with every item in it; where a
+power iterations, distributed over the executors, gives the leading right singular vectors of the blocks of all documents and all items,
+the items weighing ITEMS_WEIGH times as much as the documents; there are fewer of them than items, and words outside the items that go along with theirs in the
+documents count too. The iterations multiply by A'A, which one pass over the documents adds up from the pairs of words of each block. Items are scaled to length one in that space. Every passage of every document is compared with every item in it; where a
 bound on the cosine already rules an item out, the projection is skipped. A cosine loses length there, so LATENT is below COSINE, the
 plain cosine from which on pairs are meant to be found (a test measures how many are). Candidates are then checked word by word: the longest common
 subsequence of item and passage (with words on either side, so that the whole item fits) must hold COPY of the item's words, or PARAPHRASE
@@ -36,11 +36,13 @@ COSINE, LATENT, COPY, PARAPHRASE, ANSWER = 0.25, 0.17, 0.8, 0.6, 0.75
 SHORT, LONG = 16, 3 * BLOCK
 #: Words in a larger share of all blocks hardly count.
 COMMON = 0.05
-#: A word beside the items' is a column if so many blocks of the sample hold it: words must recur to go along with others.
-RECURS = 25
-#: Texts in the sample that the singular vectors are fitted on; texts of more than SAMPLE_BYTES are left out of it (not of the search).
-SAMPLE, SAMPLE_BYTES, ITEMS_WEIGH = 1500, 1 << 16, 10
+#: A word beside the items' is a column if so many blocks of all documents hold it, and this share of them: words must recur to go along with others.
+RECURS, SHARE = 25, 0.001
+#: How many times as much as all documents the items weigh.
+ITEMS_WEIGH = 10
 BYTES = 1 << 20
+#: Words taken at a time for sums of pairs, sums that a task holds, sums in a row of the Gram matrix's table (if a row of the matrix has fewer).
+ENTRIES, HELD, SLAB = 1 << 17, 1 << 23, 1 << 16
 SIZE = 1 << BITS
 
 LOWER = np.zeros(256, np.uint8)  # 0: no part of a word
@@ -143,51 +145,145 @@ def weights_of(seen: np.ndarray, total: int) -> np.ndarray:
     return np.maximum(np.log((total + 1.0) / (seen + 1.0)) + np.log(COMMON), 0.02)
 
 
-def gram_product(texts: DataFrame, idf: np.ndarray, cols: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A' (A basis) over the blocks of `texts` (columns text, weight) and the hashed words `cols`, summed over the executors."""
-    shared = texts.sparkSession.sparkContext.broadcast((idf.astype(np.float32), cols, basis.astype(np.float32)))
-    shape, slab = basis.shape, 512
+def entries(h: np.ndarray, first: np.ndarray, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, column, value) of the words that have a column; `place` is a hashed word's column or -1. Blocks have length one over all their words."""
+    begin, _, _ = blocks(first)
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    b = bucket(h)
+    norm = np.sqrt(np.add.reduceat(idf[b] ** 2, begin)) + 1e-9
+    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+    known = place[b] >= 0
+    return row[known], place[b[known]], (idf[b] / norm.astype(np.float32)[row])[known]
+
+
+def pairs(row: np.ndarray, col: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
+    """Every two words of a block, as the smaller column * width + the larger one, and the bits of their product below. These are U, with A'A = U + U'."""
+    out = []
+    for s in range(BLOCK):
+        m = np.flatnonzero(row[s:] == row[: len(row) - s])
+        if not len(m):
+            break
+        x, y, v = col[m], col[m + s], value[m] * value[m + s] * np.float32(1 if s else 0.5)
+        out.append((np.minimum(x, y) * width + np.maximum(x, y)).astype(np.uint64) << np.uint64(32) | v.view(np.uint32))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def summed(packed: np.ndarray) -> np.ndarray:
+    """Each code once, with the sum of its values; sorts `packed` in place."""
+    if not len(packed):
+        return packed
+    packed.sort()
+    code = packed >> np.uint64(32)
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    total = np.add.reduceat(packed.astype(np.uint32).view(np.float32), start, dtype=np.float64).astype(np.float32)
+    return code[start] << np.uint64(32) | total.view(np.uint32)
+
+
+def gram(texts: DataFrame, idf: np.ndarray, cols: np.ndarray) -> DataFrame:
+    """A'A over the blocks of all `texts` (one column) and the hashed words `cols`: (k, code, value), checkpointed, with the sums U of `pairs`.
+
+    Row k holds the codes of some rows of U. Each text is read once. A task adds up what it reads, and hands it on where it is more than HELD sums.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), cols))
+    width = max(len(cols), 1)
+    slab = max(SLAB // width, 1) * width
+
+    def by_slab(packed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        code, value = (packed >> np.uint64(32)).astype(np.uint32), packed.astype(np.uint32)
+        at = np.flatnonzero(np.append(True, code[1:] // slab != code[:-1] // slab)) if len(code) else np.zeros(0, np.int64)
+        end = np.append(at[1:], len(code))
+        for c in range(0, len(at), 64):
+            some = list(zip(at[c : c + 64].tolist(), end[c : c + 64].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(code[i]) // slab for i, _ in some]), pa.array([code[i:j].tobytes() for i, j in some], pa.binary()),
+                    pa.array([value[i:j].tobytes() for i, j in some], pa.binary()),
+                ],
+                ["k", "code", "value"],
+            )
 
     def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh, cols, q = shared.value
+        weigh, cols = shared.value
         place = np.full(SIZE, -1, np.int64)
         place[cols] = np.arange(len(cols))
-        z = np.zeros(shape, np.float32)
+        held, new, n = np.zeros(0, np.uint64), [], 0
         for batch in batches:
-            whole, raw = buffers(batch.column(0))
-            weights = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in runs(whole, 1 << 18):
-                h, first = words(whole[i : j + 1], raw)
-                begin, _, text = blocks(first)
-                if not len(begin):
-                    continue
-                b = bucket(h)
-                n = np.diff(np.append(begin, len(h)))
-                norm = np.sqrt(np.add.reduceat(weigh[b] ** 2, begin)) + 1e-9
-                row = np.repeat(np.arange(len(begin)), n)
-                value = weigh[b] * (weights[i:j][text] / norm).astype(np.float32)[row]
-                known = place[b] >= 0
+            offsets, raw = buffers(batch.column(0))
+            for i, j in runs(offsets, BYTES):
+                row, col, value = entries(*words(offsets[i : j + 1], raw), weigh, place)
+                for c in range(0, len(row), ENTRIES):  # from a block's start to another's
+                    low, high = np.searchsorted(row, [row[c], row[min(c + ENTRIES, len(row) - 1)]])
+                    high = high if c + ENTRIES < len(row) else len(row)
+                    new.append(summed(pairs(row[low:high], col[low:high], value[low:high], width)))
+                    n += len(new[-1])
+                if n > HELD // 2:
+                    held, new, n = summed(np.concatenate([held, *new])), [], 0
+                    if len(held) > HELD:
+                        yield from by_slab(held)
+                        held = held[:0]
+        yield from by_slab(summed(np.concatenate([held, *new])))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, total = None, np.zeros(slab)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if k is not None:
+                at = np.flatnonzero(total)
+                code = (at + k * slab).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([code.tobytes()]), pa.array([total[at].astype(np.float32).tobytes()])], ["k", "code", "value"])
+
+        for batch in batches:  # in the order of k
+            for own, code, value in zip(*(batch.column(c) for c in range(3)), strict=True):
+                if own.as_py() != k:
+                    yield from closed()
+                    k = own.as_py()
+                    total[:] = 0
+                total[np.frombuffer(code.as_buffer(), np.uint32).astype(np.int64) - k * slab] += np.frombuffer(value.as_buffer(), np.float32)
+        yield from closed()
+
+    few, kind = 2 * spark.sparkContext.defaultParallelism, "k long, code binary, value binary"  # a task's sums are many, whatever it reads
+    parts = texts.coalesce(few).mapInArrow(by_batch, kind)
+    return cut(parts.repartition("k").sortWithinPartitions("k").mapInArrow(add, kind)).coalesce(few)
+
+
+def gram_product(table: DataFrame, width: int, at: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """(A'A of `gram`, the columns `at` of its `width`) times basis, summed over the executors."""
+    shared = table.sparkSession.sparkContext.broadcast((at, basis.astype(np.float32)))
+    shape, slab = basis.shape, 512
+
+    def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, q = shared.value
+        place = np.full(width, -1, np.int64)
+        place[at] = np.arange(len(at))
+        z, some = np.zeros(shape, np.float32), False
+        for batch in batches:
+            for code, value in zip(batch.column(0), batch.column(1), strict=True):
+                code = np.frombuffer(code.as_buffer(), np.uint32)
+                x, y = place[code // np.uint32(width)], place[code % np.uint32(width)]
+                known = (x >= 0) & (y >= 0)
                 if not known.any():
                     continue
-                b, row, value = place[b[known]], row[known], value[known]
-                own, start, row = np.unique(row, return_index=True, return_inverse=True)
-                y = np.add.reduceat(q[b] * value[:, None], start, axis=0)
-                order = np.argsort(b, kind="stable")
-                which, start = np.unique(b[order], return_index=True)
-                z[which] += np.add.reduceat(y[row[order]] * value[order, None], start, axis=0)
-        for k in range(0, shape[0], slab):
+                own, row = np.unique(x[known], return_inverse=True)
+                part = np.zeros((len(own), shape[0]), np.float32)
+                part[row, y[known]] = np.frombuffer(value.as_buffer(), np.float32)[known]
+                z[own] += part @ q
+                z += part.T @ q[own]
+                some = True
+        for k in range(0, shape[0] if some else 0, slab):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([z[k : k + slab].tobytes()])], ["k", "z"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(z, np.float32)
+                part = np.frombuffer(z, np.float32).astype(np.float64)
                 total[k] = total[k] + part if k in total else part
         for k, z in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([z.tobytes()])], ["k", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([z.astype(np.float32).tobytes()])], ["k", "z"])
 
-    got = texts.mapInArrow(by_batch, "k long, z binary").repartition("k").mapInArrow(add, "k long, z binary").collect()
+    got = table.select("code", "value").mapInArrow(by_batch, "k long, z binary").repartition("k").mapInArrow(add, "k long, z binary").collect()
     shared.unpersist()
     out = np.zeros(shape, np.float32)
     for k, z in got:
@@ -195,42 +291,53 @@ def gram_product(texts: DataFrame, idf: np.ndarray, cols: np.ndarray, basis: np.
     return out
 
 
-def sample_of(docs: DataFrame, id_col: str, text_col: str, seed: int = 5) -> tuple[DataFrame | None, np.ndarray, int]:
-    """(texts with weight 1 by a hash of the id, blocks that hold each hashed word, number of blocks)."""
-    fit = docs.where(F.col(id_col).isNotNull() & F.octet_length(text_col).between(1, SAMPLE_BYTES))
-    ids = fit.select(id_col).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(SAMPLE).collect()
-    if not ids:
-        return None, np.zeros(SIZE, np.int64), 0
-    chosen = docs.sparkSession.createDataFrame([(r[0],) for r in ids], docs.select(id_col).schema).distinct()
-    sample = cut(fit.join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), F.lit(1.0).alias("weight")).coalesce(2))
-    return sample, *frequencies(sample, "text")
+def corpus(docs: DataFrame, text_col: str) -> tuple[DataFrame, np.ndarray, int]:
+    """(all texts, blocks that hold each hashed word, number of blocks): what the singular vectors are fitted on."""
+    return docs.select(F.col(text_col).alias("text")), *frequencies(docs, text_col)
+
+
+def sample_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray, int]:
+    """`corpus` by its former name; no sample is taken."""
+    return corpus(docs, text_col)
+
+
+def columns(own: np.ndarray, seen: np.ndarray, total: int) -> np.ndarray:
+    """The hashed words that are columns: `own` and those that recur in the documents."""
+    return np.union1d(own, np.flatnonzero(seen >= max(RECURS, SHARE * total)))
 
 
 def latent(
-    spark: SparkSession, sampled: tuple[DataFrame | None, np.ndarray, int], items: list[tuple[int, str]], idf: np.ndarray, rounds: int = 3, seed: int = 5,
+    spark: SparkSession, fit: tuple[DataFrame, np.ndarray, int], items: list[tuple[int, str]], idf: np.ndarray, rounds: int = 3, seed: int = 5,
+    whole: tuple[DataFrame, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words, orthonormal basis of the leading right singular vectors over them).
+    """(hashed words, orthonormal basis of the leading right singular vectors over them), fitted on a `corpus` and the items.
 
-    The columns are the items' words and those that recur in the sample. The rank is
-    four fifths of the items' pieces (a few items keep all their directions).
+    The columns are the items' words and those that recur in the documents. The rank is four fifths of the items' pieces
+    (a few items keep all their directions). `whole` is a `gram` and its columns, at least these, where there is one already.
     """
     raw = [t.encode() for _, t in items]
     h, first = words(np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8))
     own = np.unique(bucket(h))
     if not len(own):
         return own, np.zeros((0, 0), np.float32)
-    sample, often, count = sampled
-    cols = np.union1d(own, np.flatnonzero(often >= RECURS))
+    texts, seen, total = fit
+    cols = columns(own, seen, total)
+    table, every = whole or (gram(texts, idf, cols), cols)
+    at = np.searchsorted(every, cols)
     share = [len(pieces(n)) for n in np.diff(first).tolist()]
     parts = -(-np.diff(first) // BLOCK)
     rank = min(max(min(sum(share) + 8, 64), 4 * sum(share) // 5), len(cols))
-    weight = float(np.sqrt(ITEMS_WEIGH * max(count, 1) / max(int(parts.sum()), 1)))
-    rows = spark.createDataFrame([(t, weight) for _, t in items], "text string, weight double").coalesce(1)
-    if sample is not None:
-        rows = rows.unionByName(sample)
+    weight = float(np.sqrt(ITEMS_WEIGH * max(total, 1) / max(int(parts.sum()), 1)))
+    place = np.full(SIZE, -1, np.int64)
+    place[cols] = np.arange(len(cols))
+    row, col, value = entries(h, first, idf.astype(np.float32), place)
+    value, start = value * np.float32(weight), np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     q = np.random.default_rng(seed).normal(size=(len(cols), rank)).astype(np.float32)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(gram_product(rows, idf, cols, q))
+        z = gram_product(table, len(every), at, q)
+        y = np.add.reduceat(q[col] * value[:, None], start, axis=0)
+        np.add.at(z, col, y[row] * value[:, None])
+        q, _ = np.linalg.qr(z)
     return cols, q.astype(np.float32)
 
 
@@ -427,14 +534,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     count = known.count()
     if not count:
         return None
-    seen, total = frequencies(docs, text_col)
+    texts, seen, total = fit = corpus(docs, text_col)
     idf = weights_of(seen, total)
-    sample = sample_of(docs, id_col, text_col)
+    cols = columns(np.flatnonzero(frequencies(known, "t")[0]), seen, total)
+    whole = gram(texts, idf, cols), cols
     parts = -(-count // ITEMS)
     indexes = []
     for p in range(parts):
         items = sorted((r[0], r[1]) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).collect())
-        indexes += [spark.sparkContext.broadcast(Index(some, idf, *latent(spark, sample, some, idf))) for some in portions(items)]
+        indexes += [spark.sparkContext.broadcast(Index(some, idf, *latent(spark, fit, some, idf, whole=whole))) for some in portions(items)]
     return finder(indexes)
 
 

@@ -139,3 +139,38 @@ def test_the_end_of_a_very_long_text(spark):
     bench = spark.createDataFrame([(7, item), (7, item), (None, "x")], "item_id long, text string")
     assert sorted((r.doc_id, r.contaminated) for r in decontaminate.search(docs, bench).collect()) == [(1, True), (2, False), (2, False), (3, True)]
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 2]
+
+
+def test_the_vectors_are_fitted_on_all_documents(spark, world, monkeypatch):
+    """The basis is what dense power iterations over every block give: many rows, a text beyond 64 KB, null ids, repeated rows; sums handed on early."""
+    docs, items, _ = world
+    rng = random.Random(6)
+    rows = [(10 * i, " ".join(t.split()[:30])) for i, t in docs for _ in range(4)]
+    rows += [(7, " ".join(rng.choice(["alongside", *items[0][1].split()]) for _ in range(15_000))), (None, " ".join(["withoutid", *items[1][1].split()] * 100)), (3, None), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, total = decontaminate.frequencies(frame, "text")
+    idf = decontaminate.weights_of(seen, total)
+    for name, value in {"ENTRIES": 500, "HELD": 3000, "SLAB": 9000}.items():
+        if hasattr(decontaminate, name):
+            monkeypatch.setattr(decontaminate, name, value)
+    cols, basis = decontaminate.latent(spark, decontaminate.sample_of(frame, "doc_id", "text"), items, idf)
+
+    def matrix(texts):
+        raw = [(t or "").encode() for t in texts]
+        h, first = decontaminate.words(np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8))
+        begin, _, _ = decontaminate.blocks(first)
+        out = np.zeros((len(begin), decontaminate.SIZE), np.float32)
+        b = decontaminate.bucket(h)
+        np.add.at(out, (np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h)))), b), idf[b])
+        norm = np.sqrt([(idf[x] ** 2).sum() for x in np.split(b, begin[1:])])
+        return (out / norm[:, None])[:, cols]
+
+    hashed = lambda t: decontaminate.bucket(decontaminate.words(np.array([0, len(t)]), np.frombuffer(t.encode(), np.uint8))[0])[0]
+    assert {hashed("alongside"), hashed("withoutid")} <= set(cols.tolist())
+    a, own = matrix([t for _, t in rows]), matrix([t for _, t in items])
+    assert len(a) == total
+    square = a.T @ a + own.T @ own * (decontaminate.ITEMS_WEIGH * total / len(own))
+    q = np.random.default_rng(5).normal(size=basis.shape).astype(np.float32)
+    for _ in range(3):
+        q, _ = np.linalg.qr(square @ q)
+    assert np.abs(basis @ (basis.T @ q) - q).max() < 1e-3
