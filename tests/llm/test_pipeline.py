@@ -6,6 +6,8 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 
+from descry.llm import decontaminate
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -91,3 +93,21 @@ def test_stages_by_plain_versions(spark, tmp_path):
 
     none = docs.limit(0)
     assert all(stage(spark, none, sf).count() == 0 for stage in stages.values())
+
+
+def test_the_benchmark_stage_fits_on_every_document(spark, tmp_path, monkeypatch):
+    """Its vectors span the same space whatever the ids, as no sample is drawn by them, and documents that hold an item go."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, say(30)) for k in range(20)]
+    texts = [say(40) + (" " + items[i // 100][1] if i % 100 == 0 else "") for i in range(2000)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fitted, latent = [], decontaminate.latent
+    monkeypatch.setattr(decontaminate, "latent", lambda *a, **k: fitted.append(latent(*a, **k)) or fitted[-1])
+    for shift in (0, 10**6):
+        docs = spark.createDataFrame([(i + shift, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        kept = {r.doc_id - shift for r in corpus_pipeline.not_in_benchmark(spark, docs, str(tmp_path)).collect()}
+        assert kept == {i for i in range(2000) if i % 100}
+    (cols, one), (same, other) = fitted
+    assert cols.tolist() == same.tolist() and np.abs(one @ (one.T @ other) - other).max() < 1e-3
