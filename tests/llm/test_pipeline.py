@@ -111,3 +111,22 @@ def test_the_benchmark_stage_fits_on_every_document(spark, tmp_path, monkeypatch
         assert kept == {i for i in range(2000) if i % 100}
     (cols, one), (same, other) = fitted
     assert cols.tolist() == same.tolist() and np.abs(one @ (one.T @ other) - other).max() < 1e-3
+
+
+def test_the_quality_stage_learns_from_every_labelled_text(spark, tmp_path):
+    """Bad texts go of a kind that only labels beyond the first 1,200 in the order of a hash show, and of one that only texts beyond 256 KB show."""
+    rng = random.Random(5)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    good, bad, late, long = "abcdefghijklm", "ABCDEFGHIJKLM", "nopqrstuvwxyz", "NOPQRSTUVWXYZ"
+    order = [r[0] for r in spark.range(4000).where("crc32(binary(string(id))) % 4 <> 2").selectExpr("id", "xxhash64(11, id) as h").orderBy("h", "id").limit(2900).collect()]
+    rows = [(i, int(k % 2 == 0), say(good if k % 2 == 0 else bad if k < 2400 else late, 20)) for k, i in enumerate(order)]
+    others = [(10**6 + k, say(letters, 20)) for k, letters in enumerate([good, bad, late, long] * 25)]
+    few = [(i, 1, t) for i, y, t in rows if y][:700] + [(i, 0, say(long, 50_000)) for i, y, _ in [r for r in rows if not r[1]][:12]]
+    assert min(len(t) for _, y, t in few if not y) > 1 << 18
+    for name, known, gone in (("late", rows, {1, 2}), ("long", few, {3})):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, y) for i, y, _ in known], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.createDataFrame([(i, t) for i, _, t in known] + others, "doc_id long, text string")
+        kept = [r.doc_id - 10**6 for r in corpus_pipeline.good_quality(spark, docs, folder).where(f"doc_id >= {10**6}").collect()]
+        left = {kind: sum(k % 4 == kind for k in kept) for kind in {0} | gone}
+        assert left[0] >= 24 and all(left[kind] <= 1 for kind in gone), (name, left)
